@@ -110,18 +110,18 @@ def token_pieces(docs: DataFrame, capacity: int, separator: int, vocabulary: str
     return docs.select(F.col("doc_id").cast("long"), text_of()).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(parts: DataFrame, capacity: int, bucket_rows: int = 4096) -> DataFrame:
+def pack(parts: DataFrame, capacity: int, bucket_rows: int = 256) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to ``parts(doc_id, piece, start, length, ids_crc32)``, best-fit decreasing over all rows.
 
     The driver sees the number of items of each length: at most ``capacity`` rows. Items get their rank within their length from
-    hashed buckets of about ``max(bucket_rows, 16 sqrt(n))`` rows and a prefix sum over buckets, so a length that most rows share
+    hashed buckets of about ``max(bucket_rows, 4 sqrt(n))`` rows and a prefix sum over buckets, so a length that most rows share
     (full pieces) is spread like any other. The plan that is broadcast has a number of rows bounded by the capacity.
     """
     spark = parts.sparkSession
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = spark.sparkContext.broadcast(best_fit_plan(counts, capacity))
     most = max(counts.values(), default=1)
-    n_buckets = -(-most // max(bucket_rows, 16 * isqrt(most)))
+    n_buckets = -(-most // max(bucket_rows, 4 * isqrt(most)))
     keyed = parts.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(n_buckets)).cast("int"))
     base = keyed.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

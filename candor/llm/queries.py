@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candor.llm import packing, quality, tokens, toxicity
+from candor.llm import chat, mixing, packing, quality, rules, tokens, toxicity
 from candor.session import table
 
 
@@ -22,13 +22,26 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal weights for all sources, and as many characters as there are."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), seed=17).select("doc_id", "source", "copy", "shuffle_key")
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.preference_format(chat.pair_neighbours(table(spark, sf_dir, "conversations")))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(table(spark, sf_dir, "documents"), host="source")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(spark, table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_toxicity, op10_token_counts)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_toxicity, op7_source_mixing, op8_chat_formatting, op9_quality_rules, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_source_mixing": mixing.MIX_SQL.format(seed=17), "op8_chat_formatting": chat.CHAT_SQL}

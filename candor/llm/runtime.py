@@ -109,3 +109,8 @@ def connected_components(edges: DataFrame, a: str, b: str, tag: str = "component
 
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def broadcast_if_small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """Mark a narrow table for broadcast only after counting that it is small; beyond that Spark joins it by shuffle."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

@@ -21,30 +21,32 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
 
-def telling(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, dims: int, z: float = 4.0) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds of each feature for the toxic label, and whether they are more than ``z`` standard errors from 0."""
+def telling(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, dims: int, z: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds of each feature for the toxic label, and whether they are more than ``z`` standard errors above 0.
+
+    Only these features enter the model: the many words of a long clean text then can't add up to a score of either sign.
+    """
     seen = np.zeros((2, dims))
     for (cols, _), y in zip(rows, toxic, strict=True):
         seen[int(y), cols] += 1
     n = np.array([[(toxic == 0).sum()], [(toxic == 1).sum()]])
     a, b = seen + 0.5, n - seen + 0.5
     odds = np.log(a[1] / b[1]) - np.log(a[0] / b[0])
-    return odds, np.abs(odds) > z * np.sqrt((1 / a + 1 / b).sum(axis=0))
+    return odds, odds > z * np.sqrt((1 / a + 1 / b).sum(axis=0))
 
 
-def severity_grades(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, odds: np.ndarray, kept: np.ndarray, grades: int = GRADES) -> np.ndarray:
+def severity_grades(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, kept: np.ndarray, grades: int = GRADES) -> np.ndarray:
     """Grades for rows that only carry a yes-or-no label: 0 if not toxic, else 1 and up by terciles of marker density.
 
-    Markers are the kept features with log-odds for the toxic label. A toxic row without any is of grade 1.
+    The markers are the kept features. A toxic row without any is of grade 1.
     """
-    marker = kept & (odds > 0)
-    density = np.array([values[marker[cols]].sum() / max(values.sum(), 1.0) for cols, values in rows])
+    density = np.array([values[kept[cols]].sum() / max(values.sum(), 1.0) for cols, values in rows])
     found = density[(toxic == 1) & (density > 0)]
     cuts = np.quantile(found, np.arange(1, grades - 1) / (grades - 1)) if len(found) else np.full(grades - 2, np.inf)
     return np.where(toxic == 0, 0, 1 + np.searchsorted(cuts, density, side="left")).astype(int)
 
 
-def ordinal_fit(rows: list[np.ndarray], grade: np.ndarray, dims: int, grades: int = GRADES, alpha: float = 0.3, l1: float = 0.5, l2: float = 0.02, epochs: int = 5) -> np.ndarray:
+def ordinal_fit(rows: list[np.ndarray], grade: np.ndarray, dims: int, grades: int = GRADES, alpha: float = 0.3, l1: float = 0.5, l2: float = 0.02, epochs: int = 10) -> np.ndarray:
     """Weights shared by all thresholds, then the thresholds in increasing order: P(grade > k) = sigmoid(w.x - threshold k).
 
     Maximum likelihood of the cumulative-link model by online updates per coordinate; ``l1`` leaves features that say nothing at 0.
@@ -84,17 +86,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 8192, bits:
             toxic.append(y)
         if not rows:
             return np.concatenate([np.zeros(dims), np.full(GRADES - 1, 35.0)]).astype("<f8").tobytes()
-        odds, kept = telling(rows, y := np.concatenate(toxic), dims)
-        return ordinal_fit([cols[kept[cols]] for cols, _ in rows], severity_grades(rows, y, odds, kept), dims).astype("<f8").tobytes()
+        _, kept = telling(rows, y := np.concatenate(toxic), dims)
+        return ordinal_fit([cols[kept[cols]] for cols, _ in rows], severity_grades(rows, y, kept), dims).astype("<f8").tobytes()
 
     return np.frombuffer(fit_in_one_task(training_sample(docs, labels, "toxic", max_rows), fit), "<f8")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 8192, bits: int = BITS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 8192, bits: int = BITS) -> DataFrame:
     """``doc_id, held_out, expected_severity, severity, p_toxic, toxic`` for every row of ``docs``.
 
     ``expected_severity`` is the mean grade (0 to 3), ``severity`` the likeliest, ``p_toxic`` the chance of a grade above 0 and
-    ``toxic`` whether that is at least one half. Null and empty texts have no features and get the base rate. Repeated rows are
+    ``toxic`` whether that reaches ``threshold``. Null and empty texts have no features and get the base rate. Repeated rows are
     scored each; other columns are ignored; no rows give no rows.
     """
     weights = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, max_rows, bits))
@@ -110,4 +112,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 8192, bits: int
 
     scored = docs.select(F.col("doc_id").cast("long"), text_of()).mapInArrow(run, "doc_id long, expected_severity double, severity int, p_toxic double")
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
-    return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "expected_severity", "severity", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
+    return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "expected_severity", "severity", "p_toxic", (F.col("p_toxic") >= threshold).alias("toxic"))
