@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candor.llm import chat, mixing, packing, quality, rules, tokens, toxicity
+from candor.llm import chat, mixing, packing, pii, quality, rules, tokens, toxicity
 from candor.session import table
 
 
@@ -22,6 +22,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal weights for all sources, and as many characters as there are."""
     return mixing.mix_sources(table(spark, sf_dir, "documents"), seed=17).select("doc_id", "source", "copy", "shuffle_key")
@@ -40,7 +44,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_toxicity, op7_source_mixing, op8_chat_formatting, op9_quality_rules, op10_token_counts)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_toxicity, op4_personal_data, op7_source_mixing, op8_chat_formatting, op9_quality_rules, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
