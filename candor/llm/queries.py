@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candor.llm import chat, mixing, ngram_join, packing, pii, quality, rules, tokens, toxicity
+from candor.llm import chat, embedding_dedup, mixing, ngram_join, packing, pii, quality, rules, tokens, toxicity
 from candor.session import table
 
 
@@ -26,6 +26,10 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), n=5, percent=80)
 
@@ -48,7 +52,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_toxicity, op4_personal_data, op6_ngram_jaccard_join, op7_source_mixing, op8_chat_formatting, op9_quality_rules, op10_token_counts)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_toxicity, op4_personal_data, op5_embedding_duplicates, op6_ngram_jaccard_join, op7_source_mixing, op8_chat_formatting, op9_quality_rules, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
