@@ -1 +1 @@
-
+"""Operators on streams, and resumption of partly finished work."""
