@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from candor.functions.lexicon import Lexicon
 
@@ -187,7 +188,7 @@ def clean_to_first_line(c: Column, lex: Lexicon, quotes: bool = False) -> Column
     return strip(F.element_at(F.split(out, "\n", 2), 1))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def char_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks of two texts, in this order; difflib defines it, and no built-in function equals it."""
     from difflib import SequenceMatcher

@@ -15,7 +15,7 @@ def flatten_strings(c: Column, nested: bool = False) -> Column:
     return F.filter(F.transform(F.flatten(c) if nested else c, lambda x: strip(x.cast("string"))), lambda x: x.isNotNull() & (x != ""))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _parse_literal(texts: pd.Series) -> pd.Series:
     """Items of a list, tuple or set written as a Python literal, nested or not; null where the text is none."""
     import ast

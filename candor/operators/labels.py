@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from candor.functions import text as T
 from candor.functions.lexicon import RU_V3, Lexicon
@@ -62,16 +64,11 @@ def best_gold(df: DataFrame, lex: Lexicon = RU_V3, key: str = "id", answer: str
     return d.drop("_mine", "_mine_content", "_golds", "_toks", "_scored", "_top", "_tied", "_sims", "_best")
 
 
-def similarities(a: Column, many: Column) -> Column:
-    return _similarities(a, many)
-
-
-@F.pandas_udf("array<double>")
-def _similarities(a, many):  # noqa: ANN001, ANN202
+@F.pandas_udf(ArrayType(DoubleType()))
+def similarities(a: pd.Series, many: pd.Series) -> pd.Series:
+    """Character similarity of each text to each of several; 0 where either is empty."""
     from difflib import SequenceMatcher
 
-    import pandas as pd
-
     def ratio(x: str, y: str) -> float:
         return SequenceMatcher(None, x, y).ratio() if x and y else 0.0
 
