@@ -127,3 +127,51 @@ def token_statistics(logits: Column, labels: Column) -> Column:
         return F.struct(F.get(lp, y).alias("logprob"), entropy(F.transform(lp, F.exp)).alias("entropy"), (F.array_position(_d(row), F.array_max(_d(row))) - 1 == y).cast("double").alias("top1_match"), F.exp(F.array_max(lp)).alias("top1_prob"))
 
     return F.transform(logits, one)
+
+
+def response_slice(series: Column, total_tokens: Column, response_tokens: Column) -> Column:
+    """The part of a series of next-token predictions that belongs to the response: it begins one before the response does.
+
+    The response begins at ``max(1, total - response)``, as the first token of all is never predicted.
+    """
+    start = F.greatest(F.lit(1), total_tokens - response_tokens)
+    return F.slice(series, start.cast("int"), F.greatest(F.size(series) - start.cast("int") + 1, F.lit(0)))
+
+
+def layer_picks(n_states: Column) -> Column:
+    """Which of the hidden states are looked at: early, middle, three lens layers, last; never beyond the last."""
+    last = n_states - 1
+    at = lambda k: F.greatest(F.lit(0), F.least(F.lit(k), last)).cast("int")
+    return F.struct(at(8).alias("early"), F.floor(n_states / 2).cast("int").alias("mid"), at(10).alias("l10"), at(20).alias("l20"), at(30).alias("l30"), last.cast("int").alias("last"))
+
+
+def lens_summary(entropies: Column, top1: Column) -> dict[str, Column]:
+    """Fall of the mean entropy from the first lens layer to the last, and deviation of the mean top probabilities."""
+    return {"logit_lens_early_late_entropy_gap": F.get(entropies, 0) - F.element_at(entropies, -1), "logit_lens_top1_prob_trajectory_std": std(top1)}
+
+
+def logit_lens(head):  # noqa: ANN001, ANN201
+    """An Arrow function from hidden vectors of the tokens of a response to mean entropy and mean top probability under ``head``.
+
+    ``head`` is the output matrix (vocabulary times width), applied without a final norm; it is shipped once per worker.
+    """
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
+    kind = StructType([StructField("entropy", DoubleType()), StructField("top1_prob", DoubleType())])
+
+    def lens(hidden: pd.Series) -> pd.DataFrame:
+        def one(states) -> tuple[float, float]:  # noqa: ANN001
+            if states is None or not len(states):
+                return 0.0, 0.0
+            z = np.stack(states).astype(float) @ np.asarray(head, float).T
+            lp = z - z.max(axis=1, keepdims=True)
+            lp -= np.log(np.exp(lp).sum(axis=1, keepdims=True))
+            p = np.exp(lp)
+            return float(-(p * lp).sum(axis=1).mean()), float(p.max(axis=1).mean())
+
+        return pd.DataFrame([one(h) for h in hidden], columns=["entropy", "top1_prob"])
+
+    lens.__annotations__ = {"hidden": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(lens, kind)

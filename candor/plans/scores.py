@@ -261,3 +261,27 @@ def stream_windowed_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     d = windowed_rate(table(spark, sf_dir, "events"), "ts", F.col("value") > 50, by=["event_type"])
     return d.withColumn("rate", F.round("rate", 9))
+
+
+@query(f"with {_SERIES}, s as (select user_id, v, greatest(1, n + 1 - 5) as a from v) select user_id, round(list_avg(list_slice(v, a, len(v))), 6) as mean, len(list_slice(v, a, len(v))) as n_tokens from s")
+def arr5_response_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last five predictions of each series, as a response of five tokens would have them."""
+    d = series(spark, sf_dir).withColumn("r", R.response_slice(F.col("v"), F.size("v") + 1, F.lit(5)))
+    return d.select("user_id", F.round(R.mean(F.col("r")), 6).alias("mean"), F.size("r").cast("long").alias("n_tokens"))
+
+
+@query("select n_nationkey + 1 as n, least(8, n_nationkey)::int as early, ((n_nationkey + 1) // 2)::int as mid, least(10, n_nationkey)::int as l10, least(20, n_nationkey)::int as l20, least(30, n_nationkey)::int as l30, n_nationkey::int as last from nation")
+def arr7_layer_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_nationkey") + 1
+    return table(spark, sf_dir, "nation").select(n.alias("n"), R.layer_picks(n).alias("p")).select("n", "p.*")
+
+
+@query()
+def arr8_logit_lens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as hidden states of four tokens of width 16, under a fixed output matrix, and the summary over two layers."""
+    head = np.random.default_rng(3).standard_normal((32, 16))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    states = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("v", i * 16 + 1, F.lit(16)))
+    e = e.withColumn("h", states).withColumn("a", R.logit_lens(head)("h")).withColumn("b", R.logit_lens(head * 0.5)("h"))
+    got = R.lens_summary(F.array("a.entropy", "b.entropy"), F.array("a.top1_prob", "b.top1_prob"))
+    return e.select("vec_id", F.round("a.entropy", 6).alias("entropy"), F.round("a.top1_prob", 6).alias("top1_prob"), *(F.round(c, 6).alias(k) for k, c in got.items()))
