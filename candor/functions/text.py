@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,6 +18,15 @@ _SPACE = r"(?U)\s+"
 _YEAR = r"(?U)\b(1[0-9]{3}|20[0-9]{2}|21[0-9]{2})\b"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, wherever ``use`` mentions it.
+
+    An expression that is mentioned inside a lambda is otherwise computed anew for every element, even if it was a column of its
+    own before: Catalyst merges projections when a column is mentioned once.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def text(c: Column) -> Column:
     """Null as the empty text."""
     return F.coalesce(c.cast("string"), F.lit(""))
@@ -66,7 +76,12 @@ def multiset_overlap(a: Column, b: Column) -> Column:
 
 def multiset_f1(a: Column, b: Column) -> Column:
     """F1 of the multiset overlap of two token arrays; 0 where either is empty or nothing is shared."""
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.lit(2.0) * multiset_overlap(a, b) / (F.size(a) + F.size(b)))
+
+    def f1(z: Column) -> Column:
+        x, y = z["a"], z["b"]
+        return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.lit(2.0) * multiset_overlap(x, y) / (F.size(x) + F.size(y)))
+
+    return bind(F.struct(a.alias("a"), b.alias("b")), f1)
 
 
 def number_tokens(c: Column) -> Column:
@@ -98,11 +113,15 @@ def has_phrase(normal: Column, phrases: tuple[str, ...], stems: tuple[str, ...]
 
 def supported_by_context(answer_normal: Column, context_normal: Column, lex: Lexicon) -> Column:
     """Whether the answer, without leading function words, is part of the context, or all but one of its longer tokens are."""
-    core = strip_leading_function_words(answer_normal, lex)
-    long = F.filter(split_words(core), lambda t: F.length(t) >= 4)
-    hits = F.size(F.filter(long, lambda t: F.contains(context_normal, t)))
-    enough = (F.size(long) > 0) & (hits >= F.greatest(F.lit(1), F.size(long) - 1))
-    return F.when((core == "") | (context_normal == ""), False).otherwise(F.contains(context_normal, core) | enough)
+
+    def judge(z: Column) -> Column:
+        core, context = z["core"], z["context"]
+        long = F.filter(split_words(core), lambda t: F.length(t) >= 4)
+        hits = F.size(F.filter(long, lambda t: F.contains(context, t)))
+        enough = (F.size(long) > 0) & (hits >= F.greatest(F.lit(1), F.size(long) - 1))
+        return F.when((core == "") | (context == ""), False).otherwise(F.contains(context, core) | enough)
+
+    return bind(F.struct(strip_leading_function_words(answer_normal, lex).alias("core"), context_normal.alias("context")), judge)
 
 
 def exact_match_any(answer_normal: Column, golds_normal: Column) -> Column:
@@ -165,9 +184,10 @@ def repeated_ratio(ids: Column) -> Column:
 
 
 def bigrams(ids: Column) -> Column:
+    """Adjacent pairs as texts, since only arrays of plain values are made distinct by hashing."""
     n = F.size(ids) - 1
-    pairs = F.zip_with(F.slice(ids, F.lit(1), F.greatest(n, F.lit(0))), F.slice(ids, F.lit(2), F.greatest(n, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    return F.when(n >= 1, pairs).otherwise(F.slice(pairs, 1, 0))
+    pairs = F.zip_with(F.slice(ids, F.lit(1), F.greatest(n, F.lit(0))), F.slice(ids, F.lit(2), F.greatest(n, F.lit(0))), lambda a, b: F.concat_ws(" ", a.cast("string"), b.cast("string")))
+    return F.when(n >= 1, pairs).otherwise(F.array().cast("array<string>"))
 
 
 def clean_refusal_tail(c: Column, lex: Lexicon) -> Column:

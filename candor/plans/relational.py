@@ -131,8 +131,8 @@ def join6_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {QA} select id, len(list_filter({B.toks('model_answer')}, lambda w: contains({B.norm('context')}, w))) as n_in_context from qa")
 def join8_token_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = B.qa(spark, sf_dir).select("id", T.tokens(F.col("model_answer")).alias("t"), T.normalize(F.col("context")).alias("c"))
-    return d.select("id", F.size(F.filter("t", lambda x: F.contains("c", x))).cast("long").alias("n_in_context"))
+    both = F.struct(T.tokens(F.col("model_answer")).alias("t"), T.normalize(F.col("context")).alias("c"))
+    return B.qa(spark, sf_dir).select("id", F.size(T.bind(both, lambda z: F.filter(z["t"], lambda x: F.contains(z["c"], x)))).cast("long").alias("n_in_context"))
 
 
 @query("select event_id, coalesce(props, '') as props_text, coalesce(try_cast(value as double), 0) as value_or_zero, cast(event_id as varchar) as id_text, case when isnan(coalesce(value, 0)) then 0 when coalesce(value, 0) > 0 then 1 else 0 end as is_positive from events")
