@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from candor.llm.runtime import connected_components, grouped, materialize, text_of
+from candor.llm.runtime import broadcast_if_small, connected_components, grouped, materialize, text_of
 from candor.llm.textkit import mix, pieces, words
 
 #: Documents of a trie; a pivot with more candidates gets several tries.
@@ -58,22 +58,64 @@ def globally_ordered(values: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return values[np.argsort(rank, kind="stable")]
 
 
-def hot_shingles(docs: DataFrame, n: int, local: int = 8, most: int = 1 << 17) -> np.ndarray:
-    """Hashes and ranks of widely shared shingles: those that ``local`` texts of one batch share, counted over all batches.
+def signatures(docs: DataFrame, n: int, local: int = 3) -> DataFrame:
+    """``doc_id, n_shingles, digest, bitmap, wide``: per row the size, a 128-bit digest and a bitmap of its set.
 
-    Any order of shingles gives the same links, so this need not be complete: it only keeps passages that very many documents
-    share out of the prefixes. At most ``most`` shingles (the most frequent) are ranked, which bounds what is broadcast.
+    The bitmap has a bit for each hash modulo a power of two of about twice the set's size: two sets differ in at least as many
+    elements as their bitmaps do. ``wide``, on some rows, lists shingles that ``local`` different sets of one batch share.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
         for batch in batches:
-            found = [shingle_sets(batch.column(0).slice(a, b - a), n)[0] for a, b in pieces(batch.column(0))]
-            value, count = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
-            wide = count >= local
-            yield pa.record_batch([pa.array(value[wide]), pa.array(count[wide].astype(np.int64))], ["shingle", "n"])
+            seen: set[bytes] = set()
+            different, made = [], []
+            for a, b in pieces(batch.column(1)):
+                values, begin = shingle_sets(batch.column(1).slice(a, b - a), n)
+                own = [values[i:j] for i, j in zip(begin[:-1], begin[1:], strict=True)]
+                digests = [hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in own]
+                for v, d in zip(own, digests, strict=True):
+                    if d not in seen:
+                        seen.add(d)
+                        different.append(v)
+                maps = pa.array([bitmap(v).tobytes() for v in own], pa.binary())
+                made.append([batch.column(0).slice(a, b - a), pa.array(np.diff(begin).astype(np.int64)), pa.array(digests, pa.binary()), maps])
+            value, count = np.unique(np.concatenate(different) if different else np.zeros(0, np.int64), return_counts=True)
+            wide = [{"shingle": s, "n": c} for s, c in zip(value[count >= local].tolist(), count[count >= local].tolist(), strict=True)]
+            for columns in made:
+                lists = pa.array([wide if not i else None for i in range(len(columns[0]))], pa.list_(pa.struct([("shingle", pa.int64()), ("n", pa.int64())])))
+                wide = []
+                yield pa.record_batch([*columns, lists], ["doc_id", "n_shingles", "digest", "bitmap", "wide"])
+
+    return docs.select(F.col("doc_id").cast("long"), text_of()).mapInArrow(run, "doc_id long, n_shingles long, digest binary, bitmap binary, wide array<struct<shingle:long,n:long>>")
+
+
+def bitmap(values: np.ndarray) -> np.ndarray:
+    size = max(64, 1 << int(2 * len(values) - 1).bit_length()) if len(values) else 64
+    bits = np.zeros(size, bool)
+    bits[values & (size - 1)] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def least_difference(a: np.ndarray, b: np.ndarray) -> int:
+    """A lower bound of the symmetric difference of two sets from their bitmaps; the longer is folded to the shorter."""
+    while len(a) != len(b):
+        if len(a) > len(b):
+            a = a[: len(a) // 2] | a[len(a) // 2 :]
+        else:
+            b = b[: len(b) // 2] | b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def hot_shingles(rows: DataFrame, most: int = 1 << 17) -> np.ndarray:
+    """Hashes and ranks of widely shared shingles, from the lists of the batches summed up.
 
-    counted = docs.select(text_of()).mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "shingle").limit(most).collect()
+    Any order of shingles gives the same links, so this need not be complete: it only keeps passages that very many documents
+    share out of the prefixes. At most ``most`` shingles (the most frequent) are ranked, which bounds what is broadcast.
+    """
+    each = rows.where(F.size("wide") > 0).select(F.explode("wide").alias("w"))
+    top = each.groupBy("w.shingle").agg(F.sum("w.n").alias("n")).orderBy(F.desc("n"), "shingle").limit(most).collect()
     by_count = sorted((r["n"], r["shingle"]) for r in top)
     ranked = np.array([(s, k + 1) for k, (_, s) in enumerate(by_count)], np.int64).reshape(-1, 2)
     return ranked[np.argsort(ranked[:, 0])]
@@ -155,28 +197,74 @@ def link_block(table: pa.Table, percent: int) -> pa.RecordBatch:
     return pa.record_batch([pa.array(ids[far]), pa.array(ids[group[far]])], ["a", "b"])
 
 
-def signatures(docs: DataFrame, hot: np.ndarray, n: int, percent: int) -> DataFrame:
-    """``doc_id, n_shingles, digest, prefix``: per row, the size and a 128-bit digest of its set, and the first elements of it."""
+def prefixes(docs: DataFrame, hot: np.ndarray, n: int, percent: int) -> DataFrame:
+    """``doc, n, prefix``: the first elements of each set in the global order, for texts with words."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         for batch in batches:
             for a, b in pieces(batch.column(1)):
                 values, begin = shingle_sets(batch.column(1).slice(a, b - a), n)
                 size = np.diff(begin)
                 first = prefix_size(size, percent)
-                digests, prefixes = [], []
-                for i in range(b - a):
-                    own = values[begin[i] : begin[i + 1]]
-                    digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-                    prefixes.append(globally_ordered(own, shared.value)[: first[i]])
+                parts = [globally_ordered(values[i:j], shared.value)[:k] for i, j, k in zip(begin[:-1], begin[1:], first, strict=True)]
                 offsets = np.concatenate([[0], np.cumsum(first)]).astype(np.int32)
-                flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(size.astype(np.int64)), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "n_shingles", "digest", "prefix"])
+                flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(size.astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc", "n", "prefix"])
+
+    return docs.select(F.col("doc_id").cast("long"), text_of()).mapInArrow(run, "doc long, n long, prefix array<long>").where("n > 0")
+
+
+def shared_groups(index: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """``group, pivot, doc, n, at`` of the shingles that several documents have in their prefixes.
 
-    return docs.select(F.col("doc_id").cast("long"), text_of()).mapInArrow(run, "doc_id long, n_shingles long, digest binary, prefix array<long>")
+    One shuffle, by shingle; a task then streams over sorted shingles and drops those of a single document, which are nearly all.
+    Shingles of the same documents get the same group, the hash of their list; ``pivot`` is the least document. A shingle with
+    more than ``most`` documents isn't held to be hashed but is a group by itself.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        pivot, running = 0, None
+
+        def flush(rows: np.ndarray, open_end: bool) -> Iterator[pa.RecordBatch]:
+            """Rows (shingle, doc, n, at) of whole runs; of an open last run only if it has grown too long."""
+            nonlocal pivot, running
+            cut = np.flatnonzero(np.diff(rows[:, 0], prepend=rows[0, 0] ^ 1))
+            ends = np.append(cut[1:], len(rows))
+            first = rows[cut, 1].copy()
+            many = rows[ends - 1, 1] != first
+            mark = np.bitwise_xor.reduceat(mix(rows[:, 1].copy().view(np.uint64)), cut) ^ mix((ends - cut).astype(np.uint64))
+            if rows[0, 0] == running:
+                first[0], many[0], mark[0] = pivot, True, mix(rows[:1, 0].copy().view(np.uint64))[0]
+            if open_end:
+                mark[-1], many[-1] = mix(rows[-1:, 0].copy().view(np.uint64))[0], True
+            size = ends - cut
+            keep = np.repeat(many, size)
+            pivot, running = int(first[-1]), rows[-1, 0] if open_end else None
+            if keep.any():
+                cols = [np.repeat(mark, size).view(np.int64)[keep], np.repeat(first, size)[keep], rows[keep, 1], rows[keep, 2], rows[keep, 3]]
+                yield pa.record_batch([pa.array(np.ascontiguousarray(c)) for c in cols], ["group", "pivot", "doc", "n", "at"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.stack([c.to_numpy() for c in batch.columns], axis=1)
+            rows = np.concatenate([*held, rows])
+            tail = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+            if tail:
+                yield from flush(rows[:tail], False)
+            held = [rows[tail:]]
+            if len(held[0]) > most:
+                yield from flush(held[0], True)
+                held = []
+        if held and len(held[0]):
+            yield from flush(held[0], False)
+
+    dealt = index.repartition("shingle").sortWithinPartitions("shingle", "doc").select("shingle", "doc", "n", "at")
+    made = dealt.mapInArrow(run, "group long, pivot long, doc long, n long, at long")
+    # of the shingles of a group, each document keeps the place that allows most
+    return made.groupBy("group", "pivot", "doc", "n").agg(F.min("at").alias("at"))
 
 
 def ordered_sets(docs: DataFrame, hot: np.ndarray, n: int) -> DataFrame:
@@ -197,19 +285,48 @@ def ordered_sets(docs: DataFrame, hot: np.ndarray, n: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text_of()).mapInArrow(run, "doc long, digest binary, shingles binary")
 
 
-def verified_links(pairs: DataFrame, docs: DataFrame, hot: np.ndarray, n: int, percent: int) -> DataFrame:
-    """Links ``a, b`` among candidate ``pairs(pivot, doc)``, decided by tries over blocks of a pivot and its candidates.
+def candidate_sets(docs: DataFrame, pairs: DataFrame, known: DataFrame | None, hot: np.ndarray, n: int) -> DataFrame:
+    """``doc, shingles`` of the documents in ``pairs(pivot, doc)``, added to those ``known``; one row per different text of an id.
 
-    Only the documents that occur in a pair are turned into sets again; a pivot with many candidates gets as many blocks as keep
-    each at about ``BLOCK`` documents, and is in all of them.
+    Only documents that are compared get here. Ids that are counted to be few are broadcast, so texts aren't shuffled; beyond that
+    it is a join by shuffle.
     """
+    wanted = pairs.select("doc").union(pairs.select("pivot")).distinct()
+    wanted = materialize(wanted if known is None else wanted.join(known.select("doc").distinct(), "doc", "left_anti"), "candidates")
+    texts = docs.join(broadcast_if_small(wanted.withColumnRenamed("doc", "doc_id"), 2_000_000), "doc_id", "left_semi")
+    sets = ordered_sets(texts, hot, n)
+    sets = materialize(sets.groupBy("doc", "digest").agg(F.min("shingles").alias("shingles")).drop("digest"), "sets")
+    return sets if known is None else known.union(sets)
+
+
+def in_blocks(pairs: DataFrame, size: int) -> DataFrame:
+    """``pivot, block, doc``: a pivot and about ``size`` of its candidates to a block; the pivot is in each."""
     often = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("c"))
-    blocks = pairs.join(often, "pivot").withColumn("block", F.pmod(F.xxhash64("doc"), F.ceil(F.col("c") / BLOCK)).cast("int")).select("pivot", "block", "doc")
-    blocks = materialize(blocks.union(blocks.select("pivot", "block", F.col("pivot").alias("doc")).distinct()), "blocks")
-    wanted = blocks.select(F.col("doc").alias("doc_id")).distinct()
-    sets = materialize(ordered_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi"), hot, n), "sets")
-    sets = sets.groupBy("doc", "digest").agg(F.min("shingles").alias("shingles"))
-    held = blocks.join(sets, "doc").select("pivot", "block", "doc", "shingles")
+    blocks = pairs.join(often, "pivot").withColumn("block", F.pmod(F.xxhash64("doc"), F.ceil(F.col("c") / size)).cast("int")).select("pivot", "block", "doc")
+    blocks = materialize(blocks, "blocks")
+    return blocks.union(blocks.select("pivot", "block", F.col("pivot").alias("doc")).distinct())
+
+
+def plausible(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs(pivot, doc)`` whose bitmaps leave room for enough overlap; no pair that links is lost.
+
+    A bitmap is a thirtieth of its set, so most candidates are settled here and few sets have to travel.
+    """
+
+    def kernel(t: pa.Table) -> pa.RecordBatch | None:
+        pivot, doc = t.column("pivot")[0].as_py(), t.column("doc").to_pylist()
+        rows = list(zip(doc, t.column("n").to_pylist(), (np.frombuffer(b, np.uint8) for b in t.column("bitmap").to_pylist()), strict=True))
+        base = [(n, m) for d, n, m in rows if d == pivot]
+        good = {d for d, n, m in rows if d != pivot for pn, pm in base if (100 + percent) * (n + pn - least_difference(m, pm)) >= 2 * percent * (n + pn)}
+        return pa.record_batch([pa.array([pivot] * len(good), pa.int64()), pa.array(sorted(good), pa.int64())], ["pivot", "doc"])
+
+    held = in_blocks(pairs, 4 * BLOCK).join(maps, "doc").select("pivot", "block", "doc", "n", "bitmap")
+    return grouped(held, ["pivot", "block"], ["doc"], kernel, "pivot long, doc long")
+
+
+def verified_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` among candidate ``pairs(pivot, doc)``, decided by tries over blocks of a pivot and its candidates."""
+    held = in_blocks(pairs, BLOCK).join(sets, "doc").select("pivot", "block", "doc", "shingles")
     return grouped(held, ["pivot", "block"], ["doc"], lambda t: link_block(t, percent), "a long, b long")
 
 
@@ -219,7 +336,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     Two documents link when 100 times the intersection is at least ``percent`` times the union. Equal sets are one class, found
     by digest. Of each class one document enters an index of prefixes: in a global order of shingles, similar sets share one of
     their first elements. The documents at a shingle are compared with the least of them, the pivot, by tries. What is left are
-    shingles whose other documents are not all of one component; these go on with more pivots at a time (2, 4, ...), and only
+    shingles whose other documents are not all of one component; these go on with more pivots at a time (64, 4096, ...), and only
     between components, until every shingle's documents have been compared or are connected. No pair that could link is lost and
     none inside a component is made twice; the answer does not depend on blocks, order of rows or the hot list.
 
@@ -227,36 +344,46 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     and each is returned. A null id gives a null component. An empty table gives no rows; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hot = hot_shingles(docs, n)
-    rows = materialize(signatures(docs, hot, n, percent), "signatures")
-    usable = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = materialize(usable.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies")), "classes")
-    same = usable.join(classes.where(F.col("copies") > 1), "digest").select(F.col("doc_id").alias("a"), F.col("doc").alias("b")).where("a != b").distinct()
-    # a class enters the index with the prefix of its first document
-    heads = usable.join(classes.select("digest", "doc"), ["digest"]).where(F.col("doc_id") == F.col("doc"))
-    index = heads.select(F.col("doc").cast("long"), F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("at", "shingle")).select("shingle", "doc", "n", "at")
-    shared = index.groupBy("shingle").agg(F.min(F.struct("doc", "n", "at")).alias("p"), F.max("doc").alias("last")).where(F.col("p.doc") != F.col("last"))
-    shared = materialize(shared.select("shingle", F.col("p.doc").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.at").alias("pat")), "shared-shingles")
-    members = materialize(index.join(shared, "shingle").where("doc != pivot"), "members")
-    pairs = members.where(may_link("n", "at", "pn", "pat", percent)).select("pivot", "doc").distinct()
-    links = materialize(same.union(verified_links(pairs, docs, hot, n, percent)), "links")
+    rows = materialize(signatures(docs, n), "signatures")
+    hot = hot_shingles(rows)
+    usable = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).select("doc_id", F.col("n_shingles").alias("n"), "digest")
+    classes = usable.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    same = usable.join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("doc").alias("b")).where("a != b").distinct()
+    same = materialize(same, "copies")
+    # only the first document of a class enters the index
+    one_text = usable.groupBy("doc_id").agg((F.min("digest") == F.max("digest")).alias("one")).where("one").select(F.col("doc_id").alias("a"))
+    copies = broadcast_if_small(materialize(same.select("a").distinct().join(one_text, "a").select(F.col("a").alias("doc")), "later-copies"), 2_000_000)
+    index = prefixes(docs.where(F.col("doc_id").isNotNull()), hot, n, percent).join(copies, "doc", "left_anti").select("doc", "n", F.posexplode("prefix").alias("at", "shingle")).withColumn("at", F.col("at").cast("long"))
+    members = materialize(shared_groups(index), "members")
+    several = members.select("doc").distinct()
+    maps = rows.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "bitmap").where("n > 0").join(several, "doc", "left_semi").dropDuplicates()
+    maps = materialize(maps, "bitmaps")
+    pivot = members.where("doc = pivot").select("group", F.col("n").alias("pn"), F.col("at").alias("pat"))
+    others = members.where("doc != pivot")
+    pairs = others.join(pivot, "group").where(may_link("n", "at", "pn", "pat", percent)).select("pivot", "doc").distinct()
+    pairs = materialize(plausible(pairs, maps, percent), "pairs")
+    sets = candidate_sets(docs, pairs, None, hot, n)
+    links = materialize(same.union(verified_links(pairs, sets, percent)), "links")
     component = materialize(connected_components(links, "a", "b"), "components")
-    left = members.select("shingle", "doc", "n", "at").distinct()
-    pivots = 1
+    left, pivots = others.select("group", "doc", "n", "at"), 64
     while True:
-        tagged = left.join(component, left["doc"] == component["node"], "left").select("shingle", "doc", "n", "at", F.coalesce("component", "doc").alias("of"))
-        mixed = tagged.groupBy("shingle").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low != high").select("shingle")
-        tagged = materialize(tagged.join(mixed, "shingle", "left_semi"), "undecided")
+        tagged = left.join(component, left["doc"] == component["node"], "left").select("group", "doc", "n", "at", F.coalesce("component", "doc").alias("of"))
+        mixed = tagged.groupBy("group").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low != high").select("group")
+        tagged = materialize(tagged.join(mixed, "group", "left_semi"), "undecided")
         if tagged.isEmpty():
             break
-        pivots *= 2
-        first = tagged.withColumn("k", F.row_number().over(Window.partitionBy("shingle").orderBy("doc", "at"))).where(F.col("k") <= pivots)
-        first = materialize(first.select("shingle", F.col("doc").alias("pivot"), F.col("n").alias("pn"), F.col("at").alias("pat"), F.col("of").alias("pof")), "pivots")
-        pairs = tagged.join(first, "shingle").where((F.col("doc") > F.col("pivot")) & (F.col("of") != F.col("pof")) & may_link("n", "at", "pn", "pat", percent)).select("pivot", "doc").distinct()
-        more = verified_links(materialize(pairs, "pairs"), docs, hot, n, percent)
-        links = materialize(component.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a != b").union(more), "links")
-        component = materialize(connected_components(links, "a", "b"), "components")
-        left = tagged.select("shingle", "doc", "n", "at").join(first.select("shingle", F.col("pivot").alias("doc")), ["shingle", "doc"], "left_anti")
+        first = tagged.withColumn("k", F.row_number().over(Window.partitionBy("group").orderBy("doc"))).where(F.col("k") <= pivots)
+        first = materialize(first.select("group", F.col("doc").alias("pivot"), F.col("n").alias("pn"), F.col("at").alias("pat"), F.col("of").alias("pof")), "pivots")
+        pairs = tagged.join(first, "group").where((F.col("doc") > F.col("pivot")) & (F.col("of") != F.col("pof")) & may_link("n", "at", "pn", "pat", percent)).select("pivot", "doc").distinct()
+        pairs = materialize(plausible(pairs, maps, percent), "pairs")
+        if not pairs.isEmpty():
+            sets = candidate_sets(docs, pairs, sets, hot, n)
+            more = materialize(verified_links(pairs, sets, percent), "links")
+            if not more.isEmpty():
+                links = component.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a != b").union(more)
+                component = materialize(connected_components(links, "a", "b"), "components")
+        left = tagged.select("group", "doc", "n", "at").join(first.select("group", F.col("pivot").alias("doc")), ["group", "doc"], "left_anti")
+        pivots *= 64
     return rows.select("doc_id", "n_shingles").join(component, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -87,16 +87,11 @@ def connected_components(edges: DataFrame, a: str, b: str, tag: str = "component
 
     Alternating large-star and small-star rounds: each joins an edge list with per-node minima, written between rounds. A node
     with very many neighbours is only the hot key of an aggregate with partial sums and of a join that Spark can split. No
-    links reach the driver; it sees a count and a checksum per round.
+    links reach the driver; it only learns whether a round left nothing but stars.
     """
     e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     e = materialize(e, tag)
-    before = None
-    while True:
-        seen = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if before == (seen["n"], seen["s"]) or not seen["n"]:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before = (seen["n"], seen["s"])
+    while not _stars(e):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
@@ -105,6 +100,13 @@ def connected_components(edges: DataFrame, a: str, b: str, tag: str = "component
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         small = small.where("u != v").union(low.select("u", F.col("m").alias("v"))).distinct()
         e = materialize(small, tag)
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _stars(e: DataFrame) -> bool:
+    """Whether every ``u`` has a single ``v`` and no ``v`` is a ``u``: then each ``v`` is the root of its component."""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("root")).union(e.select(F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("root")))
+    return ends.groupBy("node").agg(F.sum("child").alias("c"), F.max("root").alias("r")).where("c > 1 or (c > 0 and r > 0)").isEmpty()
 
 
 def text_of(column: str = "text") -> Column:
