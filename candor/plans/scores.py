@@ -156,12 +156,15 @@ def alignment(responses: DataFrame, contexts: DataFrame, key: str, vector: str,
     Contexts of a group come in blocks of bounded size; each response vector meets each block as a matrix product in an Arrow
     function, and only maxima leave it. Groups without contexts are left out, as they have nothing to align with.
     """
-    # salted by row, not by rank: blocks need only be about even
-    n = contexts.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).alias("_blocks"))
-    blocks = contexts.join(n, key).withColumn("_b", F.pmod(F.xxhash64(vector), F.col("_blocks"))).groupBy(key, "_b").agg(F.collect_list(vector).alias("_ctx"))
 
-    r = responses.withColumn("_r", F.pmod(F.xxhash64(vector), F.lit(64))).withColumn("_id", F.monotonically_increasing_id())
-    r = r.groupBy(key, "_r").agg(F.collect_list(F.struct("_id", vector)).alias("_rows"))
+    def blocked(d: DataFrame, name: str, rows) -> DataFrame:  # noqa: ANN001
+        """Vectors of a group in arrays of about ``block``, dealt by hash."""
+        n = d.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).alias("_n"))
+        return d.join(n, key).groupBy(key, F.pmod(F.xxhash64(vector), F.col("_n")).alias("_b")).agg(F.collect_list(rows).alias(name)).drop("_b")
+
+    blocks = blocked(contexts, "_ctx", F.col(vector))
+
+    r = blocked(responses.withColumn("_id", F.monotonically_increasing_id()), "_rows", F.struct("_id", vector))
     best = r.join(blocks, key).select(key, F.explode(F.arrays_zip(F.col("_rows._id").alias("id"), greatest_cosines(F.col(f"_rows.{vector}"), F.col("_ctx")).alias("cos"))).alias("m"))
     best = best.groupBy(key, F.col("m.id").alias("id")).agg(F.max("m.cos").alias("cos"))
     return best.groupBy(key).agg(F.avg("cos").alias("mean"), F.stddev_pop("cos").alias("std"), F.min("cos").alias("least"), F.percentile("cos", F.lit(0.1)).alias("p10"), F.avg((F.col("cos") < 0.3).cast("double")).alias("low_support"))
