@@ -348,7 +348,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     hot = hot_shingles(rows)
     usable = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).select("doc_id", F.col("n_shingles").alias("n"), "digest")
     classes = usable.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    same = usable.join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("doc").alias("b")).where("a != b").distinct()
+    # both sides of the join are shuffled for it alone, so Spark can split a class that very many documents are in
+    same = usable.join(materialize(classes, "classes"), "digest").select(F.col("doc_id").alias("a"), F.col("doc").alias("b")).where("a != b")
     same = materialize(same, "copies")
     # only the first document of a class enters the index
     one_text = usable.groupBy("doc_id").agg((F.min("digest") == F.max("digest")).alias("one")).where("one").select(F.col("doc_id").alias("a"))
