@@ -10,6 +10,9 @@ from candor.llm.runtime import materialize, text_of
 #: White space as the rules see it.
 BLANK = "\\x20\\x09-\\x0D"
 SYMBOLS = "#*$%&|<>"
+#: What names a text of a host; 128 bits of hashes, so different texts don't meet.
+TEXT = ["_host", "_content", "_check"]
+DIGEST = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words"]
 
 
 def repeated_words(words: Column, hashes: Column) -> Column:
@@ -31,30 +34,41 @@ def repeated_words(words: Column, hashes: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), covered).otherwise(F.lit(0).cast("long"))
 
 
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(text, f"[{BLANK}]+"), lambda w: w != "")
+
+
+def line_hash(line: Column) -> Column:
+    """Lines are compared in lower case with single blanks."""
+    return F.xxhash64(F.trim(F.regexp_replace(F.lower(line), f"[{BLANK}]+", " ")))
+
+
+def identified(docs: DataFrame, host: str) -> DataFrame:
+    """``docs`` and the three columns that say which text of which host a row holds."""
+    text = text_of()
+    return docs.withColumns({"_host": F.coalesce(F.col(host).cast("string"), F.lit("")), "_content": F.xxhash64(text), "_check": F.xxhash64(F.lit(1), text)})
+
+
 def measures(docs: DataFrame, host: str = "source") -> DataFrame:
-    """A narrow row per document: the base measures, a hash of its text, and hash and words of each of its lines with a word."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), text_of().alias("text"))
-    d = d.withColumn("words", F.filter(F.split("text", f"[{BLANK}]+"), lambda w: w != ""))
+    """A narrow row per different text of a host: the base measures, and the hash of each of its different lines with a word."""
+    d = identified(docs, host).select(*TEXT, text_of().alias("text"))
+    d = d.withColumn("words", words_of(F.col("text")))
     d = d.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{BLANK}]")))
     window = lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2))
     d = d.withColumn("windows", F.transform(F.slice("words", F.lit(1), F.greatest(F.size("words") - 2, F.lit(0))), window))
-    d = d.withColumn("plain", F.transform("lines", lambda x: F.trim(F.regexp_replace(F.lower(x), f"[{BLANK}]+", " "))))
     return d.select(
-        F.monotonically_increasing_id().alias("row"),
-        "doc_id",
-        "host",
-        F.xxhash64("text").alias("content"),
+        *TEXT,
         F.size("words").cast("long").alias("n_words"),
         F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words"), F.col("windows")).alias("n_repeat_words"),
-        F.transform("plain", lambda x: F.struct(F.xxhash64(x).alias("hash"), F.size(F.split(x, " ")).alias("n"))).alias("lines"),
-    )
+        F.array_distinct(F.transform("lines", line_hash)).alias("hashes"),
+    ).dropDuplicates(TEXT)
 
 
-def quality_rules(docs: DataFrame, host: str = "source", max_documents: int = 30, max_share: float = 0.01, least_left: float = 0.3, least_words: int = 20) -> DataFrame:
-    """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed_words`` for every row.
+def clean_documents(docs: DataFrame, host: str = "source", max_documents: int = 30, max_share: float = 0.01, least_left: float = 0.3, least_words: int = 20) -> DataFrame:
+    """Every row of ``docs`` with the boilerplate lines of its host taken out of ``text``, and the columns ``DIGEST`` but the id.
 
     Base: under 50 words, or more than half of the words in repeated 3-word windows. Beyond that a line (lower case, single
     blanks) is boilerplate of its host if more than ``max_documents`` different documents of the host and more than
@@ -62,18 +76,35 @@ def quality_rules(docs: DataFrame, host: str = "source", max_documents: int = 30
     than ``least_left`` of its words are left. Exact copies of a text are one document here: finding copies is another
     operator's task, and a text isn't boilerplate for having been copied whole.
 
-    Null and empty texts have no words and fail the base. A null host is the host "". Repeated rows are judged each. No rows give
-    no rows. Line hashes of each (host, line, text) are reduced before they are counted, so a host or a line that most documents
-    share is spread by text; the joins that follow are ones that Spark splits when a key is hot.
+    The other lines stay as they are, in order; ``n_chars`` (if there) is set to the new length where a text changed. What
+    was removed, and whether a document is depleted, is counted on the text that is returned.
+
+    Null and empty texts have no words and fail the base; a null text stays null. A null host is the host "". Repeated rows are
+    returned each. No rows give no rows. ``docs`` is read twice, for measures and for the texts; the texts are shuffled once.
+    Each text of a host is measured and counted once, so a host or a line that most documents share is spread by text; the
+    joins are ones that Spark splits when a key is hot.
     """
-    narrow = materialize(measures(docs, host), "measures")
-    lines = narrow.select("row", "host", "content", F.explode("lines").alias("line")).select("row", "host", "content", "line.hash", "line.n")
-    of_host = narrow.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("of_host"))
-    often = lines.select("host", "hash", "content").distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > max_documents)
-    often = often.join(of_host, "host").where(F.col("n_docs") > max_share * F.col("of_host")).select("host", "hash")
-    removed = lines.join(often, ["host", "hash"]).groupBy("row").agg(F.sum("n").alias("n_removed_words"))
-    gone = F.coalesce("n_removed_words", F.lit(0)).cast("long")
+    texts = materialize(measures(docs, host), "measures")
+    lines = texts.select(*TEXT, F.explode("hashes").alias("hash"))
+    of_host = texts.groupBy("_host").agg(F.count(F.lit(1)).alias("of_host"))
+    often = lines.groupBy("_host", "hash").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > max_documents)
+    often = often.join(of_host, "_host").where(F.col("n_docs") > max_share * F.col("of_host")).select("_host", "hash")
+    above = lines.join(often, ["_host", "hash"]).groupBy(*TEXT).agg(F.collect_set("hash").alias("_above"))
+    judged = materialize(texts.drop("hashes").join(above, TEXT, "left"), "lines-above")
+
+    own = [c for c in docs.columns if c not in DIGEST[1:]]
+    d = identified(docs.select(*(F.col(f"`{c}`") for c in own)), host).join(judged, TEXT, "left")
+    stays = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_above", line_hash(x)))
+    d = d.withColumn("text", F.when(F.col("_above").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n")))
+    if "n_chars" in own:
+        d = d.withColumn("n_chars", F.when(F.col("_above").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    d = d.withColumn("_left", F.size(words_of(text_of())).cast("long"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    left = F.col("n_words") - gone
-    kept = ~failed & (left >= least_words) & (left >= least_left * F.col("n_words"))
-    return narrow.drop("lines").join(removed, "row", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"), gone.alias("n_removed_words"))
+    kept = ~failed & (F.col("_left") >= least_words) & (F.col("_left") >= least_left * F.col("n_words"))
+    d = d.withColumns({"base_failed": failed, "kept": kept, "n_removed_words": F.col("n_words") - F.col("_left")})
+    return d.select(*(F.col(f"`{c}`") for c in own), *DIGEST[1:])
+
+
+def quality_rules(docs: DataFrame, host: str = "source", **limits: float) -> DataFrame:
+    """The columns ``DIGEST`` of ``clean_documents`` for every row."""
+    return clean_documents(docs, host, **limits).select(F.col("doc_id").cast("long").alias("doc_id"), *DIGEST[1:])

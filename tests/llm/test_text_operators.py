@@ -105,6 +105,20 @@ def test_rules_remove_lines_of_a_host(spark):
     assert all(got[20 + i] == (0, True) for i in range(9)), "exact copies are one document"
 
 
+def test_rules_return_texts_without_lines_above_limits(spark, odd_documents):
+    own = lambda i: " ".join(f"d{i}x{j}" for j in range(60))
+    rows = [(i, f" Read  MORE\there\n{own(i)}\n\nread more here\n  Tail {i} ", 7, "h") for i in range(8)] + [(9, f"read more here\n{own(9)}", 75, "other"), (10, None, None, "h")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, source string")
+    out = rules.clean_documents(d, max_documents=3, max_share=0.2)
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert out.columns[:4] == d.columns and all(got[i]["text"] == f"{own(i)}\n\n  Tail {i} " for i in range(8))
+    assert all(got[i]["n_chars"] == len(got[i]["text"]) and got[i]["n_removed_words"] == 6 for i in range(8))
+    assert got[9]["text"] == rows[8][1] and got[9]["n_chars"] == 75 and got[10]["text"] is None and got[10]["n_removed_words"] == 0
+    same = rules.clean_documents(odd_documents)
+    key = lambda r: (str(r["doc_id"]), str(r["text"]))
+    assert sorted(map(key, same.collect())) == sorted(map(key, odd_documents.collect())) and set(odd_documents.columns) <= set(same.columns)
+
+
 def test_mixing(spark, odd_documents, no_documents):
     d = spark.createDataFrame([(i, "x" * 10, "big" if i % 10 else "small") for i in range(4000)], "doc_id long, text string, source string")
     out = mixing.mix_sources(d, {"big": 1.0, "small": 3.0}, size=1.0)
