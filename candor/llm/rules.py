@@ -67,12 +67,12 @@ def measures(docs: DataFrame, host: str = "source") -> DataFrame:
     ).dropDuplicates(TEXT)
 
 
-def clean_documents(docs: DataFrame, host: str = "source", max_documents: int = 30, max_share: float = 0.01, least_left: float = 0.3, least_words: int = 20) -> DataFrame:
+def clean_documents(docs: DataFrame, host: str = "source", max_documents: int = 30, max_share: float = 0.0, least_left: float = 0.3, least_words: int = 20) -> DataFrame:
     """Every row of ``docs`` with the boilerplate lines of its host taken out of ``text``, and the columns ``DIGEST`` but the id.
 
     Base: under 50 words, or more than half of the words in repeated 3-word windows. Beyond that a line (lower case, single
-    blanks) is boilerplate of its host if more than ``max_documents`` different documents of the host and more than
-    ``max_share`` of them hold it; such lines are removed, and a document is depleted if fewer than ``least_words`` words or less
+    blanks) is boilerplate of its host if more than ``max_documents`` different documents of the host hold it, however large
+    the host is (a ``max_share`` above 0 asks for more than that share of them besides); such lines are removed, and a document is depleted if fewer than ``least_words`` words or less
     than ``least_left`` of its words are left. Exact copies of a text are one document here: finding copies is another
     operator's task, and a text isn't boilerplate for having been copied whole.
 
@@ -86,9 +86,11 @@ def clean_documents(docs: DataFrame, host: str = "source", max_documents: int =
     """
     texts = materialize(measures(docs, host), "measures")
     lines = texts.select(*TEXT, F.explode("hashes").alias("hash"))
-    of_host = texts.groupBy("_host").agg(F.count(F.lit(1)).alias("of_host"))
     often = lines.groupBy("_host", "hash").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > max_documents)
-    often = often.join(of_host, "_host").where(F.col("n_docs") > max_share * F.col("of_host")).select("_host", "hash")
+    if max_share > 0:
+        of_host = texts.groupBy("_host").agg(F.count(F.lit(1)).alias("of_host"))
+        often = often.join(of_host, "_host").where(F.col("n_docs") > max_share * F.col("of_host"))
+    often = often.select("_host", "hash")
     above = lines.join(often, ["_host", "hash"]).groupBy(*TEXT).agg(F.collect_set("hash").alias("_above"))
     judged = materialize(texts.drop("hashes").join(above, TEXT, "left"), "lines-above")
 

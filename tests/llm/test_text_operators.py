@@ -119,6 +119,14 @@ def test_rules_return_texts_without_lines_above_limits(spark, odd_documents):
     assert sorted(map(key, same.collect())) == sorted(map(key, odd_documents.collect())) and set(odd_documents.columns) <= set(same.columns)
 
 
+def test_rules_limit_is_the_same_for_every_size_of_host(spark):
+    own = lambda i: " ".join(f"d{i}x{j}" for j in range(60))
+    for size in (40, 4000):
+        rows = [(i, f"read more here\n{own(i)}" if i < 35 else own(i), "h") for i in range(size)]
+        got = rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+        assert got.where("n_removed_words = 3 and kept").count() == 35 and got.where("n_removed_words = 0").count() == size - 35
+
+
 def test_mixing(spark, odd_documents, no_documents):
     d = spark.createDataFrame([(i, "x" * 10, "big" if i % 10 else "small") for i in range(4000)], "doc_id long, text string, source string")
     out = mixing.mix_sources(d, {"big": 1.0, "small": 3.0}, size=1.0)
