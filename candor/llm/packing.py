@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from candor.llm.runtime import materialize, text_of
 from candor.llm.textkit import pieces as chunks
-from candor.llm.tokens import VOCABULARY, encode
+from candor.llm.tokens import VOCABULARY, encode, encoder
 
 
 class CapacityTree:
@@ -86,17 +86,23 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(sorted(plan), np.int64).reshape(-1, 5)
 
 
+def id_type(separator: int, vocabulary: str) -> str:
+    """The numpy type that ids are moved in."""
+    return "<u2" if max(separator, encoder(vocabulary).n_vocab - 1) <= 0xFFFF else "<u4"
+
+
 def token_pieces(docs: DataFrame, capacity: int, separator: int, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32``: a document's ids and a separator, cut where they exceed ``capacity``.
+    """``doc_id, piece, start, length, ids_crc32, ids``: a document's ids and a separator, cut where they exceed ``capacity``.
 
-    All pieces of a cut document but the first are full.
+    All pieces of a cut document but the first are full. ``ids`` are little-endian bytes, two to an id where the vocabulary allows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        narrow = id_type(separator, vocabulary)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             for a, b in chunks(texts):
-                doc, rows = [], []
+                doc, rows, held = [], [], []
                 for key, text in zip(keys.slice(a, b - a).to_pylist(), texts.slice(a, b - a).to_pylist(), strict=True):
                     ids = np.append(encode(text, vocabulary), np.uint32(separator)).astype("<u4", copy=False)
                     cut = len(ids) % capacity or capacity
@@ -104,14 +110,17 @@ def token_pieces(docs: DataFrame, capacity: int, separator: int, vocabulary: str
                         part = ids[at : cut + k * capacity]
                         doc.append(key)
                         rows.append((k, at, len(part), zlib.crc32(part)))
+                        held.append(part.astype(narrow).tobytes())
                 cols = np.array(rows, np.int64).reshape(-1, 4)
-                yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(cols[:, 0].astype(np.int32)), *(pa.array(cols[:, j]) for j in (1, 2, 3))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(cols[:, 0].astype(np.int32)), *(pa.array(cols[:, j]) for j in (1, 2, 3)), pa.array(held, pa.binary())], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_of()).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), text_of()).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 def pack(parts: DataFrame, capacity: int, bucket_rows: int = 256) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to ``parts(doc_id, piece, start, length, ids_crc32)``, best-fit decreasing over all rows.
+    """Add ``sequence_id`` and ``offset`` to ``parts(doc_id, piece, start, length, ids_crc32, ids)``, best-fit decreasing over all rows.
+
+    ``ids`` go where their row goes, in one shuffle, and come out as an array; ``ids_crc32`` is taken again from the ids placed.
 
     The driver sees the number of items of each length: at most ``capacity`` rows. Items get their rank within their length from
     hashed buckets of about ``max(bucket_rows, 4 sqrt(n))`` rows and a prefix sum over buckets, so a length that most rows share
@@ -128,7 +137,7 @@ def pack(parts: DataFrame, capacity: int, bucket_rows: int = 256) -> DataFrame:
     base = base.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     within = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = keyed.withColumn("_rank", F.row_number().over(within) - 1).join(base, ["length", "_bucket"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_rank") + F.col("_base")).alias("_rank"))
+    ranked = ranked.select("doc_id", "piece", "start", "length", "ids", (F.col("_rank") + F.col("_base")).alias("_rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = plan.value
@@ -137,13 +146,22 @@ def pack(parts: DataFrame, capacity: int, bucket_rows: int = 256) -> DataFrame:
             length, rank = batch.column(3).to_numpy(), batch.column(5).to_numpy()
             row = rows[np.searchsorted(keys, (length << 44) + rank, side="right") - 1]
             nth = rank - row[:, 1]
-            yield pa.record_batch([*batch.columns[:5], pa.array(row[:, 2] + nth // row[:, 4]), pa.array(row[:, 3] + nth % row[:, 4] * length)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            parts = [np.frombuffer(x, f"<u{len(x) // n}").astype("<u4") for x, n in zip(batch.column(4).to_pylist(), length.tolist(), strict=True)]
+            ids = pa.ListArray.from_arrays(np.append(0, np.cumsum(length)).astype(np.int32), np.concatenate([*parts, np.zeros(0, "<u4")]).astype(np.int32))
+            sums = pa.array([zlib.crc32(x) for x in parts], pa.int64())
+            yield pa.record_batch([*batch.columns[:4], sums, pa.array(row[:, 2] + nth // row[:, 4]), pa.array(row[:, 3] + nth % row[:, 4] * length), ids], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids"])
+
+    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, ids array<int>")
+
 
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+def sequences(packed: DataFrame) -> DataFrame:
+    """``sequence_id, ids``: the ids of each sequence's pieces in order of their offsets."""
+    parts = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
+    return parts.select("sequence_id", F.flatten("parts.ids").alias("ids"))
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, capacity: int = 1024, separator: int = 2, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Every document of ``docs(doc_id, text)`` as pieces placed in sequences of ``capacity`` ids.
+    """Every document of ``docs(doc_id, text)`` as pieces with their ids, placed in sequences of ``capacity`` ids.
 
     Null and empty texts are a lone separator. Repeated rows are packed as often as they occur. Documents that share an id are
     packed one by one. Columns other than these two are ignored; an empty table gives no rows.

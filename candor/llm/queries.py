@@ -11,7 +11,8 @@ from candor.session import table
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(spark, table(spark, sf_dir, "documents"), capacity=1024, separator=2)
+    """The digest of the pieces; its sums are taken from the ids as placed."""
+    return packing.pack_documents(spark, table(spark, sf_dir, "documents"), capacity=1024, separator=2).drop("ids")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

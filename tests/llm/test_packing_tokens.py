@@ -93,6 +93,20 @@ def test_pack_documents(spark, odd_documents, no_documents):
     assert packing.pack_documents(spark, no_documents).count() == 0
 
 
+def test_sequences_hold_the_ids(spark, odd_documents):
+    packed = materialize(packing.pack_documents(spark, odd_documents), "p")
+    got = {r["sequence_id"]: r["ids"] for r in packing.sequences(packed).collect()}
+    found = {}
+    for r in packed.collect():
+        assert got[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]] == r["ids"]
+        found.setdefault(r["doc_id"], []).append((r["start"], r["ids"]))
+    assert sum(map(len, got.values())) == sum(r["length"] for r in packed.collect()) and max(map(len, got.values())) <= 1024
+    for r in odd_documents.where("doc_id > 1").collect():
+        assert [i for _, ids in sorted(found[r["doc_id"]]) for i in ids] == [*tokens.encode(r["text"]).tolist(), 2]
+    wide = packing.pack_documents(spark, odd_documents.where("doc_id = 6"), separator=70_000).collect()
+    assert [r["ids"] for r in wide] == [[*tokens.encode("Ünïcode 漢字 😀 <|endoftext|> end").tolist(), 70_000]]
+
+
 @pytest.mark.parametrize("block", [1, 3, 64, 1 << 20])
 def test_scan_stitches_blocks(spark, tmp_path, block):
     lists = {"a": [[], [1], [1, 2, 3, 4, 5, 6, 7], [], [9]], "b": [], "c": [[5] * 130]}
