@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from candor.llm import chat, embedding_dedup, mixing, ngram_join, packing, pii, quality, rules, tokens, toxicity
+from candor.llm.runtime import materialize
 from candor.session import table
 
 
@@ -36,8 +37,9 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal weights for all sources, and as many characters as there are."""
-    return mixing.mix_sources(table(spark, sf_dir, "documents"), seed=17).select("doc_id", "source", "copy", "shuffle_key")
+    """Equal weights for all sources, and as many characters as there are: what copies the written mixture holds."""
+    mixture = materialize(mixing.mix_sources(table(spark, sf_dir, "documents"), seed=17), "mixture")
+    return mixture.select("doc_id", "source", "copy", "shuffle_key")
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

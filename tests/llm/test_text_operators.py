@@ -143,6 +143,15 @@ def test_mixing(spark, odd_documents, no_documents):
     assert mixing.mix_sources(d, {"big": 1.0}).where("source = 'small'").count() == 0
 
 
+@needs_tables
+def test_mixture_is_written_with_its_texts(spark):
+    rows = queries.op7_source_mixing(spark, SF)
+    written = spark.read.parquet(*{f.rpartition("/")[0] for f in rows.inputFiles()})
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert set(written.columns) == {*docs.columns, "copy", "shuffle_key"} and written.count() == rows.count()
+    assert written.select(docs.columns).distinct().exceptAll(docs.distinct()).count() == 0
+
+
 @pytest.mark.parametrize("mean", [0.01, 0.9, 5.0, 80.0, 700.0, 5000.0])
 def test_poisson_inverse(spark, mean):
     from pyspark.sql import functions as F
