@@ -92,19 +92,24 @@ def id_type(separator: int, vocabulary: str) -> str:
 
 
 def token_pieces(docs: DataFrame, capacity: int, separator: int, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32, ids``: a document's ids and a separator, cut where they exceed ``capacity``.
+    """``doc_id, piece, start, length, ids_crc32, ids, salt``: a document's ids and a separator, cut where they exceed ``capacity``.
 
+    The ids are those of the tokenizer file, so the string of an added token in a text is that token. ``salt`` differs between
+    pieces that are otherwise alike.
     All pieces of a cut document but the first are full. ``ids`` are little-endian bytes, two to an id where the vocabulary allows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         narrow = id_type(separator, vocabulary)
+        salt = TaskContext.get().partitionId() << 33
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             for a, b in chunks(texts):
                 doc, rows, held = [], [], []
                 for key, text in zip(keys.slice(a, b - a).to_pylist(), texts.slice(a, b - a).to_pylist(), strict=True):
-                    ids = np.append(encode(text, vocabulary), np.uint32(separator)).astype("<u4", copy=False)
+                    ids = np.append(encode(text, vocabulary, added=True), np.uint32(separator)).astype("<u4", copy=False)
                     cut = len(ids) % capacity or capacity
                     for k, at in enumerate([0, *range(cut, len(ids), capacity)]):
                         part = ids[at : cut + k * capacity]
@@ -112,13 +117,16 @@ def token_pieces(docs: DataFrame, capacity: int, separator: int, vocabulary: str
                         rows.append((k, at, len(part), zlib.crc32(part)))
                         held.append(part.astype(narrow).tobytes())
                 cols = np.array(rows, np.int64).reshape(-1, 4)
-                yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(cols[:, 0].astype(np.int32)), *(pa.array(cols[:, j]) for j in (1, 2, 3)), pa.array(held, pa.binary())], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+                yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(cols[:, 0].astype(np.int32)), *(pa.array(cols[:, j]) for j in (1, 2, 3)), pa.array(held, pa.binary()), pa.array(np.arange(salt, salt + len(doc)))], ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "salt"])
+                salt += len(doc)
 
-    return docs.select(F.col("doc_id").cast("long"), text_of()).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), text_of()).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, salt long")
 
 
 def pack(parts: DataFrame, capacity: int, bucket_rows: int = 256) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to ``parts(doc_id, piece, start, length, ids_crc32, ids)``, best-fit decreasing over all rows.
+    """Add ``sequence_id`` and ``offset`` to ``parts(doc_id, piece, start, length, ids_crc32, ids, salt)``, best-fit decreasing over all rows.
+
+    ``parts`` is read more than once, so it must be a written table.
 
     ``ids`` go where their row goes, in one shuffle, and come out as an array; ``ids_crc32`` is taken again from the ids placed.
 
@@ -131,11 +139,11 @@ def pack(parts: DataFrame, capacity: int, bucket_rows: int = 256) -> DataFrame:
     plan = spark.sparkContext.broadcast(best_fit_plan(counts, capacity))
     most = max(counts.values(), default=1)
     n_buckets = -(-most // max(bucket_rows, 4 * isqrt(most)))
-    keyed = parts.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(n_buckets)).cast("int"))
+    keyed = parts.withColumn("_bucket", F.pmod(F.xxhash64("salt"), F.lit(n_buckets)).cast("int"))
     base = keyed.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = base.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
+    within = Window.partitionBy("length", "_bucket").orderBy("salt")
     ranked = keyed.withColumn("_rank", F.row_number().over(within) - 1).join(base, ["length", "_bucket"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids", (F.col("_rank") + F.col("_base")).alias("_rank"))
 

@@ -2,27 +2,38 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_open = threading.local()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where it is unset (tests) one of our own."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, one of our own in local mode only."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='candor-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    """A path under the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A path under the shared folder that nothing else uses; the innermost open scope removes it at its end."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if scopes := getattr(_open, "scopes", None):
+        scopes[-1].append(path)
+    return path
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -33,6 +44,40 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in map(spark._jvm.org.apache.hadoop.fs.Path, paths):
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """What is written inside is removed at the end. Write results outside it, or by way of ``tidy``."""
+    scopes = _open.__dict__.setdefault("scopes", [])
+    scopes.append([])
+    try:
+        yield
+    finally:
+        remove(spark, scopes.pop())
+
+
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator whose result is written before it returns; what it wrote on the way is then removed.
+
+    The result itself belongs to the scope around the call, if there is one, and else stays.
+    """
+
+    @functools.wraps(operator)
+    def run(*args, **options) -> DataFrame:  # noqa: ANN002, ANN003
+        spark = SparkSession.active()
+        path = fresh_path(spark, operator.__name__.replace("_", "-"))
+        with scope(spark):
+            out = operator(*args, **options)
+            out.write.parquet(path)
+        return spark.read.schema(out.schema).parquet(path)
+
+    return run
+
+
 def grouped(df: DataFrame, keys: list[str], order: list[str], kernel: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Apply ``kernel`` to the rows of each key, one key at a time.
 
@@ -82,6 +127,7 @@ def _arrow_fields(spark: SparkSession, schema: str) -> list[pa.Field]:
     return list(to_arrow_schema(StructType.fromDDL(schema)))
 
 
+@tidy
 def connected_components(edges: DataFrame, a: str, b: str, tag: str = "components") -> DataFrame:
     """``(node, component)`` for every node of an edge; ``component`` is the smallest node that can be reached.
 
@@ -103,6 +149,16 @@ def connected_components(edges: DataFrame, a: str, b: str, tag: str = "component
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def joined_components(component: DataFrame, links: DataFrame) -> DataFrame:
+    """``component(node, component)`` after further ``links(a, b)``: only components that a link touches are worked on again."""
+    of = lambda end, name: component.select(F.col("node").alias(f"_{end}"), F.col("component").alias(name))
+    ends = links.join(of("a", "u"), F.col("a") == F.col("_a"), "left").join(of("b", "v"), F.col("b") == F.col("_b"), "left")
+    merged = connected_components(ends.select(F.coalesce("u", "a").alias("u"), F.coalesce("v", "b").alias("v")), "u", "v")
+    new = merged.join(component, "node", "left_anti")
+    merged = broadcast_if_small(merged.select(F.col("node").alias("_n"), F.col("component").alias("_c")))
+    return component.join(merged, F.col("component") == F.col("_n"), "left").select("node", F.coalesce("_c", "component").alias("component")).union(new)
+
+
 def _stars(e: DataFrame) -> bool:
     """Whether every ``u`` has a single ``v`` and no ``v`` is a ``u``: then each ``v`` is the root of its component."""
     ends = e.select(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("root")).union(e.select(F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("root")))

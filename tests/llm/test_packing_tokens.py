@@ -62,10 +62,12 @@ def test_same_ids_as_the_tokenizer_file():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rng = random.Random(5)
     alphabet = "abc XYZ  \n\t'sll09.,;:!?-_é 　漢字😀ßẞ́<|endoftext|>\x85 "
     texts = ["", " ", "don't we'LL", "<|endoftext|>", "a" * 3000, "\n\n \n", *("".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(3000))]
+    texts += ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", " \n<|endoftext|>  \n", "<|endoftext|", *("<|endoftext|>".join(rng.sample(texts, 3)) for _ in range(500))]
+    assert [tokens.encode(x, added=True).tolist() for x in texts] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    t.encode_special_tokens = True
     assert [tokens.encode(x).tolist() for x in texts] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -74,7 +76,7 @@ def test_pack_documents(spark, odd_documents, no_documents):
     texts = [(r["doc_id"], r["text"]) for r in odd_documents.collect()]
     want = []
     for doc, text in texts:
-        ids = [*tokens.encode(text).tolist(), 2]
+        ids = [*tokens.encode(text, added=True).tolist(), 2]
         first = len(ids) % 1024 or 1024
         for k, at in enumerate([0, *range(first, len(ids), 1024)]):
             part = ids[at : first + k * 1024]
@@ -102,9 +104,30 @@ def test_sequences_hold_the_ids(spark, odd_documents):
         found.setdefault(r["doc_id"], []).append((r["start"], r["ids"]))
     assert sum(map(len, got.values())) == sum(r["length"] for r in packed.collect()) and max(map(len, got.values())) <= 1024
     for r in odd_documents.where("doc_id > 1").collect():
-        assert [i for _, ids in sorted(found[r["doc_id"]]) for i in ids] == [*tokens.encode(r["text"]).tolist(), 2]
+        assert [i for _, ids in sorted(found[r["doc_id"]]) for i in ids] == [*tokens.encode(r["text"], added=True).tolist(), 2]
     wide = packing.pack_documents(spark, odd_documents.where("doc_id = 6"), separator=70_000).collect()
-    assert [r["ids"] for r in wide] == [[*tokens.encode("Ünïcode 漢字 😀 <|endoftext|> end").tolist(), 70_000]]
+    assert [r["ids"] for r in wide] == [[*tokens.encode("Ünïcode 漢字 😀 <|endoftext|> end", added=True).tolist(), 70_000]]
+
+
+def test_added_token_in_a_text(spark):
+    d = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")
+    (row,) = packing.pack_documents(spark, d).collect()
+    assert row["ids"] == [64, 220, 50256, 275, 2] and row["length"] == 5
+    assert tokens.token_counts(spark, d).first()["n_tokens"] == 9
+
+
+def test_pieces_that_are_alike_are_spread(spark):
+    parts = packing.token_pieces(spark.createDataFrame([(None, None)] * 3000, "doc_id long, text string"), 1024, 2)
+    packed = packing.pack(materialize(parts, "p"), 1024, bucket_rows=16)
+    assert packed.select("sequence_id", "offset").distinct().count() == 3000 and packed.agg({"sequence_id": "max"}).first()[0] == 2
+
+
+def test_files_refuse_ids_that_do_not_fit(spark, odd_documents, monkeypatch):
+    with pytest.raises(ValueError):
+        tokens.write_token_files(odd_documents, fresh_path(spark, "t"), separator=70_000)
+    monkeypatch.setattr(tokens, "encoder", lambda v: type("wide", (), {"n_vocab": 100_000}))
+    with pytest.raises(ValueError):
+        tokens.write_token_files(odd_documents, fresh_path(spark, "t"))
 
 
 @pytest.mark.parametrize("block", [1, 3, 64, 1 << 20])
