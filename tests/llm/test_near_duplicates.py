@@ -151,6 +151,36 @@ def test_blocks_of_a_large_bucket(spark, monkeypatch):
     assert {(r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_duplicates(d).collect()} == {(59, 0)}
 
 
+def test_rows_of_one_id_are_vectors_of_one_vertex(spark):
+    e1, e2, near = [1.0, 0.0], [0.0, 1.0], [1.0, 0.01]
+    rows = [(1, e1, "x"), (1, e1, "x"), (1, e2, "x"), (3, near, "x"), (4, e2, "x"), (5, e2, "y"), (6, [-0.0, 1.0], "y"), (None, e1, "x")]
+    got = sorted(tuple(r) for r in embedding_dedup.embedding_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).where("vec_id is not null").collect())
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (1, 2, 1, True), (3, 2, 1, False), (4, 1, 1, False), (5, 1, 5, True), (6, 1, 5, False)]
+
+
+def test_embeddings_with_repeated_ids(spark):
+    rng = np.random.default_rng(12)
+    centres = rng.standard_normal((5, 12))
+    rows = [(int(rng.integers(90)), (centres[rng.integers(5)] + rng.standard_normal(12) * rng.choice([0.0, 0.03, 0.8])).astype(np.float32), int(rng.integers(2))) for _ in range(200)]
+    d = spark.createDataFrame([(i, v.tolist(), k) for i, v, k in rows], "vec_id long, embedding array<float>, label int")
+    unit = [v.astype(float) / np.linalg.norm(v.astype(float)) for _, v, _ in rows]
+    links = [(a, b) for a in range(200) for b in range(a) if rows[a][2] == rows[b][2] and unit[a] @ unit[b] >= 0.98]
+    c = components({i for i, _, _ in rows}, [(rows[a][0], rows[b][0]) for a, b in links])
+    want = sorted((rows[k][0], sum(k in p for p in links), c[rows[k][0]]) for k in range(200))
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_duplicates(d).collect()) == want
+
+
+def test_links_join_components(spark):
+    from candor.llm.runtime import joined_components
+
+    rng = random.Random(6)
+    old, new = ([(rng.randrange(120), rng.randrange(120)) for _ in range(40)] for _ in range(2))
+    first = connected_components(spark.createDataFrame(old, "a long, b long"), "a", "b")
+    got = {r["node"]: r["component"] for r in joined_components(first, spark.createDataFrame(new, "a long, b long")).collect()}
+    links = [p for p in old + new if p[0] != p[1]]
+    assert got == components({x for p in links for x in p}, links)
+
+
 def test_shingle_sets_of_pieces():
     texts = pa.array(["a b c d e f", None, "", "A  b\tc d E f", "x y", "x  Y"])
     values, begin = ngram_join.shingle_sets(texts, 5)
