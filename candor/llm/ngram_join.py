@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from candor.llm.runtime import broadcast_if_small, connected_components, grouped, materialize, text_of
+from candor.llm.runtime import broadcast_if_small, connected_components, grouped, joined_components, materialize, text_of, tidy
 from candor.llm.textkit import mix, pieces, words
 
 #: Documents of a trie; a pivot with more candidates gets several tries.
 BLOCK = 128
+#: Ids are broadcast up to this number, and beyond it joined by shuffle.
+FEW = 200_000
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -293,18 +295,21 @@ def candidate_sets(docs: DataFrame, pairs: DataFrame, known: DataFrame | None, h
     """
     wanted = pairs.select("doc").union(pairs.select("pivot")).distinct()
     wanted = materialize(wanted if known is None else wanted.join(known.select("doc").distinct(), "doc", "left_anti"), "candidates")
-    texts = docs.join(broadcast_if_small(wanted.withColumnRenamed("doc", "doc_id"), 2_000_000), "doc_id", "left_semi")
+    texts = docs.join(broadcast_if_small(wanted.withColumnRenamed("doc", "doc_id"), FEW), "doc_id", "left_semi")
     sets = ordered_sets(texts, hot, n)
     sets = materialize(sets.groupBy("doc", "digest").agg(F.min("shingles").alias("shingles")).drop("digest"), "sets")
     return sets if known is None else known.union(sets)
 
 
 def in_blocks(pairs: DataFrame, size: int) -> DataFrame:
-    """``pivot, block, doc``: a pivot and about ``size`` of its candidates to a block; the pivot is in each."""
+    """``pivot, block, doc``: a pivot and about ``size`` of its candidates to a block; the pivot is in each.
+
+    Few enough, they are broadcast to the sets or bitmaps that they name, so of these only the ones compared are shuffled.
+    """
     often = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("c"))
     blocks = pairs.join(often, "pivot").withColumn("block", F.pmod(F.xxhash64("doc"), F.ceil(F.col("c") / size)).cast("int")).select("pivot", "block", "doc")
     blocks = materialize(blocks, "blocks")
-    return blocks.union(blocks.select("pivot", "block", F.col("pivot").alias("doc")).distinct())
+    return broadcast_if_small(blocks.union(blocks.select("pivot", "block", F.col("pivot").alias("doc")).distinct()), FEW)
 
 
 def plausible(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
@@ -320,7 +325,7 @@ def plausible(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
         good = {d for d, n, m in rows if d != pivot for pn, pm in base if (100 + percent) * (n + pn - least_difference(m, pm)) >= 2 * percent * (n + pn)}
         return pa.record_batch([pa.array([pivot] * len(good), pa.int64()), pa.array(sorted(good), pa.int64())], ["pivot", "doc"])
 
-    held = in_blocks(pairs, 4 * BLOCK).join(maps, "doc").select("pivot", "block", "doc", "n", "bitmap")
+    held = in_blocks(pairs, BLOCK // 2).join(maps, "doc").select("pivot", "block", "doc", "n", "bitmap")
     return grouped(held, ["pivot", "block"], ["doc"], kernel, "pivot long, doc long")
 
 
@@ -330,6 +335,7 @@ def verified_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return grouped(held, ["pivot", "block"], ["doc"], lambda t: link_block(t, percent), "a long, b long")
 
 
+@tidy
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row: components of documents whose n-gram sets overlap enough.
 
@@ -353,11 +359,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     same = materialize(same, "copies")
     # only the first document of a class enters the index
     one_text = usable.groupBy("doc_id").agg((F.min("digest") == F.max("digest")).alias("one")).where("one").select(F.col("doc_id").alias("a"))
-    copies = broadcast_if_small(materialize(same.select("a").distinct().join(one_text, "a").select(F.col("a").alias("doc")), "later-copies"), 2_000_000)
+    copies = broadcast_if_small(materialize(same.select("a").distinct().join(one_text, "a").select(F.col("a").alias("doc")), "later-copies"), FEW)
     index = prefixes(docs.where(F.col("doc_id").isNotNull()), hot, n, percent).join(copies, "doc", "left_anti").select("doc", "n", F.posexplode("prefix").alias("at", "shingle")).withColumn("at", F.col("at").cast("long"))
     members = materialize(shared_groups(index), "members")
     several = members.select("doc").distinct()
-    maps = rows.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "bitmap").where("n > 0").join(several, "doc", "left_semi").dropDuplicates()
+    maps = rows.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "digest", "bitmap").where("n > 0").join(several, "doc", "left_semi")
+    maps = maps.groupBy("doc", "digest").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap")).drop("digest")
     maps = materialize(maps, "bitmaps")
     pivot = members.where("doc = pivot").select("group", F.col("n").alias("pn"), F.col("at").alias("pat"))
     others = members.where("doc != pivot")
@@ -365,7 +372,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     pairs = materialize(plausible(pairs, maps, percent), "pairs")
     sets = candidate_sets(docs, pairs, None, hot, n)
     links = materialize(same.union(verified_links(pairs, sets, percent)), "links")
-    component = materialize(connected_components(links, "a", "b"), "components")
+    component = connected_components(links, "a", "b")
     left, pivots = others.select("group", "doc", "n", "at"), 64
     while True:
         tagged = left.join(component, left["doc"] == component["node"], "left").select("group", "doc", "n", "at", F.coalesce("component", "doc").alias("of"))
@@ -381,8 +388,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
             sets = candidate_sets(docs, pairs, sets, hot, n)
             more = materialize(verified_links(pairs, sets, percent), "links")
             if not more.isEmpty():
-                links = component.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a != b").union(more)
-                component = materialize(connected_components(links, "a", "b"), "components")
+                component = materialize(joined_components(component, more), "components")
         left = tagged.select("group", "doc", "n", "at").join(first.select("group", F.col("pivot").alias("doc")), ["group", "doc"], "left_anti")
         pivots *= 64
     return rows.select("doc_id", "n_shingles").join(component, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -165,6 +165,12 @@ def _stars(e: DataFrame) -> bool:
     return ends.groupBy("node").agg(F.sum("child").alias("c"), F.max("root").alias("r")).where("c > 1 or (c > 0 and r > 0)").isEmpty()
 
 
+def own_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns named ``c0, c1, ...``, which meet no name that an operator uses, and which is which."""
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(a) for c, a in names.items()]), names
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
