@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candor.llm.runtime import materialize, text_of
+from candor.llm.runtime import broadcast_if_small, materialize, text_of
 
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -24,6 +24,10 @@ FORMS = {
 CANDIDATE = f"(?<![^{_WS}])(?:[(]?+[0-9]++(?:[\\x20().-]{{1,2}}+[0-9]++)++|[^{_WS}0-9@]*+[0-9@][^{_WS}]*+)"
 
 
+#: Spans that contexts added are broadcast to the rows they are in up to this number.
+MOST_BROADCAST = 100_000
+
+
 def _luhn(digits: Column) -> Column:
     def add(total: Column, i: Column) -> Column:
         d = F.substring(F.reverse(digits), i, F.lit(1)).cast("int")
@@ -151,7 +155,8 @@ def find_personal_data(docs: DataFrame, carry: list[str] | None = None) -> DataF
 
     ``base`` holds what the forms of the four kinds match and their checks accept. ``spans`` adds identifiers that no form
     matches but that trusted contexts of seeds surround and whose make-up fits the kind (an at sign, enough digits, dotted or
-    coloned groups). Two reads of narrow rows; texts are read once and not shuffled.
+    coloned groups). Two reads of narrow rows; texts are read once. Carried columns are not shuffled while the added spans are few
+    enough to broadcast (``MOST_BROADCAST``); beyond that, those of rows with a candidate are.
 
     Null and empty texts have no spans; repeated rows are treated alike; an empty table gives no rows. A carried column may have
     any name but ``row``, ``base``, ``loose``, ``spans``.
@@ -161,12 +166,17 @@ def find_personal_data(docs: DataFrame, carry: list[str] | None = None) -> DataF
     seen = materialize(occurrences(found.select("row", "base", "loose")), "occurrences")
     trusted = trusted_patterns(seen)
     loose = seen.where(~F.col("seed")).select("row", "start", "end", F.explode("kinds").alias("kind"), "patterns").select("row", "start", "end", "kind", F.explode("patterns").alias("pattern"))
-    added = loose.join(trusted, ["pattern", "kind"]).groupBy("row", "start", "end").agg(F.min_by("kind", _order(F.col("kind"))).alias("kind"))
+    added = loose.join(broadcast_if_small(trusted), ["pattern", "kind"]).groupBy("row", "start", "end").agg(F.min_by("kind", _order(F.col("kind"))).alias("kind"))
+    added = materialize(added, "added-spans")
+    few = added.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     added = added.groupBy("row").agg(F.collect_list(F.struct("start", "end", "kind")).alias("added"))
     thin = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    rows = found.drop("loose").withColumn("base", thin).join(added, "row", "left")
+    rows = found.withColumn("base", thin)
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    return rows.select(*carry, "base", F.concat("base", F.coalesce("added", none)).alias("spans"))
+    # only rows with a candidate can gain a span: if there are too many spans to broadcast, no other row is shuffled
+    able = F.size("loose") > 0
+    joined = rows.join(F.broadcast(added), "row", "left") if few else rows.where(able).join(added, "row", "left").unionByName(rows.where(~able).withColumn("added", none))
+    return joined.select(*carry, "base", F.concat("base", F.coalesce("added", none)).alias("spans"))
 
 
 def personal_data_digest(docs: DataFrame) -> DataFrame:
@@ -179,7 +189,8 @@ def personal_data_digest(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span in ``text`` replaced by its kind in angle brackets, and ``n_chars`` (if there) set to the new length.
 
-    Spans that overlap become one replacement, named after the first. Null texts stay null.
+    Spans that overlap become one replacement, named after the first. Null texts stay null, empty ones empty. Repeated rows come
+    back each; columns may have any name; no rows give no rows.
     """
     names = {c: f"_c{k}" for k, c in enumerate(docs.columns)}
     plain = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in names.items()], F.col("text"))
