@@ -41,8 +41,9 @@ def quality_features(texts: pa.Array, bits: int = BITS) -> Sparse:
     doc = np.searchsorted(offsets, starts, side="right") - 1
     if not len(h):
         return np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    upper = np.concatenate([[0], np.cumsum((data >= 65) & (data <= 90))])
-    capitals = upper[starts + lengths] - upper[starts]
+    upper = ((data >= 65) & (data <= 90)).view(np.uint8)
+    # every text ends in a line feed, so no run reaches the end of the data
+    capitals = np.add.reduceat(upper, np.stack([starts, starts + lengths], axis=1).ravel(), dtype=np.int64)[::2]
     form = np.where(capitals == 0, 1, np.where((capitals == lengths) & (lengths > 1), 3, 2)).astype(np.uint64)
     again = np.zeros(len(h), bool)
     again[1:] |= h[1:] == h[:-1]
@@ -76,10 +77,10 @@ def lexical_features(texts: pa.Array, bits: int = BITS) -> Sparse:
 
 
 def row_sums(weights: np.ndarray, m: Sparse, binary: bool = False) -> np.ndarray:
-    """The sparse dot product of each row with ``weights``."""
+    """The sparse dot product of each row with ``weights``; a row's sum doesn't depend on the rows beside it."""
     rows, cols, values = m
-    total = np.concatenate([[0.0], np.cumsum(weights[cols] if binary else weights[cols] * values)])
-    return total[rows[1:]] - total[rows[:-1]]
+    terms = np.append(weights[cols] if binary else weights[cols] * values, 0.0)
+    return np.where(np.diff(rows) > 0, np.add.reduceat(terms, rows[:-1]), 0.0) if len(rows) > 1 else np.zeros(0)
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, seed: int = 1) -> DataFrame:

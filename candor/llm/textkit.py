@@ -56,37 +56,49 @@ def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"\n".join([*raw, b""]), np.uint8), offsets
 
 
-def _runs(kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edge = np.flatnonzero(np.diff(kind, prepend=np.uint8(0), append=np.uint8(0)))
-    if not len(edge):
-        return edge, edge
-    starts, ends = edge[:-1], edge[1:]
-    keep = kind[starts] > 0
-    return starts[keep], ends[keep]
+def _parts(kind: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``limit`` bytes, each cut where a run ends, unless a single run is longer."""
+    a = 0
+    while a < len(kind):
+        b = min(a + limit, len(kind))
+        while 0 < b < len(kind):
+            end = min(b + limit, len(kind))
+            cut = np.flatnonzero(kind[b - 1 : end - 1] != kind[b:end])
+            if len(cut):
+                b += int(cut[0])
+                break
+            b = end
+        yield a, b
+        a = b
 
 
 def run_hashes(data: np.ndarray, kind: np.ndarray, limit: int = 4 * CHUNK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, length and 64-bit hash (letters A-Z lowered) of each run of bytes of one kind other than 0.
 
-    Long data are hashed in parts cut between runs, so the working set stays bounded except for a single run longer than
-    ``limit``.
+    Long data are worked on in parts cut between runs, so beside the runs found the working set stays bounded except for a
+    single run longer than ``limit``.
     """
-    starts, ends = _runs(kind)
-    hashes = np.zeros(len(starts), np.uint64)
-    a = 0
-    while a < len(starts):
-        b = max(a + 1, int(np.searchsorted(ends, starts[a] + limit, side="right")))
-        lo, hi = int(starts[a]), int(ends[b - 1])
-        s = starts[a:b] - lo
-        n = ends[a:b] - starts[a:b]
-        part = (LOWER[data[lo:hi]].astype(np.uint64) + np.uint64(1)) * (kind[lo:hi] > 0)
-        where = np.arange(hi - lo, dtype=np.int64)
-        first = np.zeros(hi - lo, np.int64)
-        first[s] = s
-        part *= powers(int(n.max()))[np.minimum(where - np.maximum.accumulate(first), int(n.max()) - 1)]
-        hashes[a:b] = mix(np.add.reduceat(part, s) + n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        a = b
-    return starts, ends - starts, hashes
+    found = [_run_hashes(data[a:b], kind[a:b], a) for a, b in _parts(kind, limit)]
+    if len(found) == 1:
+        return found[0]
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (none, none, none.view(np.uint64))
+
+
+def _run_hashes(data: np.ndarray, kind: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    edge = np.flatnonzero(np.diff(kind, prepend=np.uint8(0), append=np.uint8(0)))
+    starts, ends = edge[:-1], edge[1:]
+    keep = kind[starts] > 0
+    starts, ends = starts[keep], ends[keep]
+    if not len(starts):
+        return starts, ends, np.zeros(0, np.uint64)
+    n = ends - starts
+    part = (LOWER[data].astype(np.uint64) + np.uint64(1)) * (kind > 0)
+    first = np.zeros(len(data), np.int64)
+    first[starts] = starts
+    at = np.arange(len(data), dtype=np.int64) - np.maximum.accumulate(first)
+    part *= powers(int(n.max()))[np.minimum(at, int(n.max()) - 1)]
+    return starts + base, n, mix(np.add.reduceat(part, starts) + n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
