@@ -109,7 +109,7 @@ def occurrences(found: DataFrame) -> DataFrame:
     each = each.withColumn("lead", lead).withColumn("bare", F.when(seed, F.col("bare")).otherwise(F.regexp_replace(F.expr("substring(bare, length(lead) + 1)"), "[.,;:!?\"')\\]>}]+$", "")))
     each = each.where(F.length("bare") > 0)
     start = F.col("start") + F.length("label") + F.length("lead")
-    each = each.withColumn("start", start).withColumn("end", F.when(seed, F.col("end")).otherwise(start + F.length("bare")))
+    each = each.withColumns({"start": start, "end": F.when(seed, F.col("end")).otherwise(start + F.length("bare"))})
     words = F.filter(F.split(F.lower(F.concat_ws(" ", "before", "label")), f"[{_WS}]+"), lambda w: w != "")
     each = each.withColumn("words", words).withColumn("next", F.lower(F.regexp_extract("after", f"^[{_WS}]*([^{_WS}]+)", 1)))
     last, second = F.element_at("words", F.lit(-1)), F.element_at("words", F.lit(-2))
