@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candor.llm.runtime import materialize, text_of
+from candor.llm.runtime import materialize, own_names, text_of
 
 #: White space as the rules see it.
 BLANK = "\\x20\\x09-\\x0D"
@@ -21,7 +21,7 @@ def repeated_words(words: Column, hashes: Column) -> Column:
     Hashes are sorted with their places, neighbours with an equal hash give the places that recur, and each place covers up to
     three words not covered before: n log n for a text of n words, and nothing where no window recurs.
     """
-    placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
     def recurring(s: Column) -> Column:
         near = lambda x, k: F.when((F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"]), x["i"])
@@ -43,10 +43,10 @@ def line_hash(line: Column) -> Column:
     return F.xxhash64(F.trim(F.regexp_replace(F.lower(line), f"[{BLANK}]+", " ")))
 
 
-def identified(docs: DataFrame, host: str) -> DataFrame:
+def identified(docs: DataFrame, host: str, text: str = "text") -> DataFrame:
     """``docs`` and the three columns that say which text of which host a row holds."""
-    text = text_of()
-    return docs.withColumns({"_host": F.coalesce(F.col(host).cast("string"), F.lit("")), "_content": F.xxhash64(text), "_check": F.xxhash64(F.lit(1), text)})
+    whole = text_of(text)
+    return docs.withColumns({"_host": F.coalesce(F.col(host).cast("string"), F.lit("")), "_content": F.xxhash64(whole), "_check": F.xxhash64(F.lit(1), whole)})
 
 
 def measures(docs: DataFrame, host: str = "source") -> DataFrame:
@@ -59,8 +59,8 @@ def measures(docs: DataFrame, host: str = "source") -> DataFrame:
     return d.select(
         *TEXT,
         F.size("words").cast("long").alias("n_words"),
-        F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.regexp_replace("text", f"[{BLANK}]+", "")).cast("long").alias("word_chars"),
+        (F.length("text") - F.length(F.regexp_replace("text", f"[{SYMBOLS}]+", ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words"), F.col("windows")).alias("n_repeat_words"),
         F.array_distinct(F.transform("lines", line_hash)).alias("hashes"),
@@ -80,7 +80,7 @@ def clean_documents(docs: DataFrame, host: str = "source", max_documents: int =
     was removed, and whether a document is depleted, is counted on the text that is returned.
 
     Null and empty texts have no words and fail the base; a null text stays null. A null host is the host "". Repeated rows are
-    returned each. No rows give no rows. ``docs`` is read twice, for measures and for the texts; the texts are shuffled once.
+    returned each. Columns named as in ``DIGEST`` are replaced; others may have any name. No rows give no rows. ``docs`` is read twice, for measures and for the texts; the texts are shuffled once.
     Each text of a host is measured and counted once, so a host or a line that most documents share is spread by text; the
     joins are ones that Spark splits when a key is hot.
     """
@@ -94,17 +94,18 @@ def clean_documents(docs: DataFrame, host: str = "source", max_documents: int =
     above = lines.join(often, ["_host", "hash"]).groupBy(*TEXT).agg(F.collect_set("hash").alias("_above"))
     judged = materialize(texts.drop("hashes").join(above, TEXT, "left"), "lines-above")
 
-    own = [c for c in docs.columns if c not in DIGEST[1:]]
-    d = identified(docs.select(*(F.col(f"`{c}`") for c in own)), host).join(judged, TEXT, "left")
-    stays = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_above", line_hash(x)))
-    d = d.withColumn("text", F.when(F.col("_above").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n")))
-    if "n_chars" in own:
-        d = d.withColumn("n_chars", F.when(F.col("_above").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    d = d.withColumn("_left", F.size(words_of(text_of())).cast("long"))
+    own, names = own_names(docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in DIGEST[1:])))
+    text = names["text"]
+    d = identified(own, names[host], text).join(judged, TEXT, "left")
+    stays = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("_above", line_hash(x)))
+    d = d.withColumn(text, F.when(F.col("_above").isNull(), F.col(text)).otherwise(F.array_join(stays, "\n")))
+    if size := names.get("n_chars"):
+        d = d.withColumn(size, F.when(F.col("_above").isNull(), F.col(size)).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType))
+    d = d.withColumn("_left", F.size(words_of(text_of(text))).cast("long"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     kept = ~failed & (F.col("_left") >= least_words) & (F.col("_left") >= least_left * F.col("n_words"))
     d = d.withColumns({"base_failed": failed, "kept": kept, "n_removed_words": F.col("n_words") - F.col("_left")})
-    return d.select(*(F.col(f"`{c}`") for c in own), *DIGEST[1:])
+    return d.select(*(F.col(a).alias(c) for c, a in names.items()), *DIGEST[1:])
 
 
 def quality_rules(docs: DataFrame, host: str = "source", **limits: float) -> DataFrame:
