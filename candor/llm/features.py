@@ -46,17 +46,17 @@ def quality_features(texts: pa.Array, bits: int = BITS) -> Sparse:
     capitals = np.add.reduceat(upper, np.stack([starts, starts + lengths], axis=1).ravel(), dtype=np.int64)[::2]
     form = np.where(capitals == 0, 1, np.where((capitals == lengths) & (lengths > 1), 3, 2)).astype(np.uint64)
     again = np.zeros(len(h), bool)
-    again[1:] |= h[1:] == h[:-1]
-    again[2:] |= h[2:] == h[:-2]
+    two = doc[1:] == doc[:-1]
+    three = doc[2:] == doc[:-2]
+    again[1:] |= (h[1:] == h[:-1]) & two
+    again[2:] |= (h[2:] == h[:-2]) & three
     form[again] = 4
     marks = kind[starts] == 2
     form[marks] = h[marks]
-    two = doc[1:] == doc[:-1]
-    three = doc[2:] == doc[:-2]
     parts = [(doc, _salted(h, 1)), (doc[1:][two], _salted(h[:-1] * np.uint64(3) + h[1:], 2)[two]), (doc, _salted(form, 3)), (doc[2:][three], _salted(mix(mix(form[:-2]) + form[1:-1]) + form[2:], 4)[three])]
     rows, cols, values = _pooled(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), len(texts), bits)
     size = np.diff(rows)
-    norm = np.sqrt(np.add.reduceat(np.append(values**2, 0), rows[:-1])) if len(rows) > 1 else np.zeros(0)
+    norm = np.sqrt(np.add.reduceat(np.append(values**2, 0), rows)[:-1])
     return rows, cols, values / np.repeat(np.where(size > 0, norm, 1), size)
 
 
@@ -80,7 +80,7 @@ def row_sums(weights: np.ndarray, m: Sparse, binary: bool = False) -> np.ndarray
     """The sparse dot product of each row with ``weights``; a row's sum doesn't depend on the rows beside it."""
     rows, cols, values = m
     terms = np.append(weights[cols] if binary else weights[cols] * values, 0.0)
-    return np.where(np.diff(rows) > 0, np.add.reduceat(terms, rows[:-1]), 0.0) if len(rows) > 1 else np.zeros(0)
+    return np.where(np.diff(rows) > 0, np.add.reduceat(terms, rows)[:-1], 0.0)
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, seed: int = 1) -> DataFrame:
