@@ -9,9 +9,12 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
 def pair_neighbours(turns: DataFrame) -> DataFrame:
-    """Pairs from a plain table of conversations: an even id is the chosen one, the odd id after it the rejected one."""
+    """Pairs from a plain table of conversations: an even id is the chosen one, the odd id after it the rejected one.
+
+    Turns of a null id are of no pair and left out. All ids that are long integers pair exactly.
+    """
     conv = F.col("conv_id").cast("long")
-    return turns.where(conv.isNotNull()).select(F.floor(conv / 2).alias("pair_id"), F.when(F.pmod(conv, F.lit(2)) == 0, "chosen").otherwise("rejected").alias("side"), "turn", "role", "text")
+    return turns.where(conv.isNotNull()).select(F.shiftright(conv, 1).alias("pair_id"), F.when(F.pmod(conv, F.lit(2)) == 0, "chosen").otherwise("rejected").alias("side"), "turn", "role", "text")
 
 
 def preference_format(turns: DataFrame) -> DataFrame:
@@ -23,6 +26,10 @@ def preference_format(turns: DataFrame) -> DataFrame:
     ``loss_to`` of a row: what an assistant says in a completion and the closing mark; elsewhere both are 0. ``n_common`` counts
     the turns of the prompt.
 
+    Texts and roles are rendered as they are: one that holds the marks ``<|im_start|>`` or ``<|im_end|>`` looks like further turns to
+    who reads only the joined string. Rows are turns whatever they hold, and ``loss_from`` and ``loss_to`` are of whole rows, so a mark
+    in a text moves no loss.
+
     Rows that repeat are one; different rows of one turn are alike only if all are, and follow each other by role and text. A side
     that is missing has no turns, so nothing is common. Identical sides are all prompt. Null turns come first, as -1; null roles
     and texts are empty; rows with a null pair or another side than chosen or rejected are of no pair and left out.

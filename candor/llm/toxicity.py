@@ -38,7 +38,9 @@ def telling(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, dims:
 def severity_grades(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, kept: np.ndarray, grades: int = GRADES) -> np.ndarray:
     """Grades for rows that only carry a yes-or-no label: 0 if not toxic, else 1 and up by terciles of marker density.
 
-    The markers are the kept features. A toxic row without any is of grade 1.
+    The markers are the kept features. A toxic row without any is of grade 1. A limit of labels that only say yes or no: grades
+    above 1 rank toxic documents by how dense in telling words they are, which the labels themselves don't judge; only the step
+    from 0 to 1 is a human decision. Give ``ordinal_fit`` graded labels where there are any.
     """
     density = np.array([values[kept[cols]].sum() / max(values.sum(), 1.0) for cols, values in rows])
     found = density[(toxic == 1) & (density > 0)]
@@ -95,7 +97,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 8192, bits:
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 8192, bits: int = BITS) -> DataFrame:
     """``doc_id, held_out, expected_severity, severity, p_toxic, toxic`` for every row of ``docs``.
 
-    ``expected_severity`` is the mean grade (0 to 3), ``severity`` the likeliest, ``p_toxic`` the chance of a grade above 0 and
+    ``expected_severity`` is the mean grade (0 to 3; see ``severity_grades`` for what grades mean), ``severity`` the likeliest, ``p_toxic`` the chance of a grade above 0 and
     ``toxic`` whether that reaches ``threshold``. Null and empty texts have no features and get the base rate. Repeated rows are
     scored each; other columns are ignored; no rows give no rows.
     """
