@@ -81,6 +81,46 @@ def first_mean(a: Column, n: int) -> Column:
     return mean(F.slice(_d(a), 1, n))
 
 
+def series_statistics(a: Column, prefix: str) -> dict[str, Column]:
+    """Mean, deviation, least and greatest of a series, named after it; 0 where it is empty."""
+    return {f"{prefix}_mean": mean(a), f"{prefix}_std": std(a), f"{prefix}_min": low(a), f"{prefix}_max": high(a)}
+
+
+def response_statistics(logprobs: Column, entropies: Column, top1_match: Column, top1_prob: Column) -> dict[str, Column]:
+    """What the log-probabilities, entropies and top-1 data of a response's tokens amount to; all 0 for an empty response."""
+    return (
+        series_statistics(logprobs, "token_logprob")
+        | series_statistics(entropies, "token_entropy")
+        | {
+            "logprob_min": low(logprobs),
+            "logprob_p05": percentile(logprobs, 5),
+            "logprob_p10": percentile(logprobs, 10),
+            "logprob_max_drop": or_zero(logprobs, max_drop(logprobs)),
+            "logprob_tail_degradation": tail_degradation(logprobs),
+            "worst_span_logprob_mean": min_window_mean(logprobs, 5),
+            "entropy_max_window_3": max_window_mean(entropies, 3),
+            "entropy_max_window_5": max_window_mean(entropies, 5),
+            "entropy_variance": variance(entropies),
+            "worst_span_entropy_mean": max_window_mean(entropies, 5),
+            "first_5_tokens_entropy": first_mean(entropies, 5),
+            "top1_match_rate": mean(top1_match),
+            "top1_prob_mean": mean(top1_prob),
+        }
+    )
+
+
+def layer_agreement(last: Column, mid: Column, early: Column) -> dict[str, Column]:
+    """Cosines between the mean vectors of three layers, their spread, and one minus their mean."""
+    pairs = {"last_mid_cos": cosine(last, mid), "last_early_cos": cosine(last, early), "mid_early_cos": cosine(mid, early)}
+    values = list(pairs.values())
+    return pairs | {"hidden_state_cosine_diff": F.greatest(*values) - F.least(*values), "layer_disagreement_score": 1 - (values[0] + values[1] + values[2]) / 3}
+
+
+def question_part(vectors: Column, response_start: Column, most: int = 50) -> Column:
+    """The vectors of the first prompt tokens, at most ``most`` and none of the response's: what stands for the question."""
+    return F.slice(vectors, F.lit(1), F.least(F.lit(most), F.greatest(response_start, F.lit(0))).cast("int"))
+
+
 def dot(a: Column, b: Column) -> Column:
     return total(F.zip_with(_d(a), _d(b), lambda x, y: x * y))
 

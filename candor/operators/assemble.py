@@ -92,14 +92,18 @@ def with_types(df: DataFrame, types: list[str], column: str = "hallucination_typ
 def row_ids(df: DataFrame, order: list[str], start: int = 0, name: str = "_row_id") -> DataFrame:
     """Consecutive numbers in the given order, without sorting everything into one task.
 
-    Rows are range-partitioned by the order; each partition numbers its own after the counts of those before it, which are few.
+    Rows are range-partitioned by the order and written, with the number of their partition; each partition numbers its own after
+    the counts of those before it, which are few. Counts and numbers are read from what was written, so they agree even when
+    rows tie or an executor is lost.
     """
+    from candor.sources.io import staged
+
     cols = [F.col(c) for c in order]
-    spread = df.withColumn("_u", F.monotonically_increasing_id()).repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("_p", F.spark_partition_id())
-    spread = spread.persist()
+    spread = df.repartitionByRange(*cols).withColumn("_p", F.spark_partition_id()).withColumn("_u", F.monotonically_increasing_id())
+    spread = staged(spread, "row-ids")
     counts = spread.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     base = counts.select("_p", (F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_base"))
-    local = F.row_number().over(Window.partitionBy("_p").orderBy(*cols))
+    local = F.row_number().over(Window.partitionBy("_p").orderBy(*cols, "_u"))
     out = spread.withColumn("_k", local).join(F.broadcast(base), "_p")
     return out.withColumn(name, F.col("_k") + F.col("_base") - 1 + start).drop("_u", "_p", "_k", "_base")
 
@@ -125,12 +129,36 @@ def draw(key: str, seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
 
 
+def mark_least(df: DataFrame, key: str, wanted: dict, group: str | None = None, seed: int = 42, name: str = "_chosen") -> DataFrame:
+    """``df`` and whether a row is among the ``wanted`` least, by hash then key, of its group (of all rows: ``{None: n}``).
+
+    Rows are counted per group and first four digits of the hash; a prefix sum over these at most 65,536 counts a group finds the
+    digits at which the wanted number is reached. Rows below are chosen and rows above not, without a shuffle; only those with
+    just these digits are ranked. Groups are few and known to the caller.
+    """
+    hashed = draw(key, seed)
+    digits = F.conv(F.substring("_h", 1, 4), 16, 10).cast("int")
+    d = df.withColumn("_h", hashed).withColumn("_d", digits).withColumn("_g", F.col(group) if group else F.lit(None).cast("string"))
+    want = F.lit(0).cast("long")
+    for g, n in wanted.items():
+        want = F.when(F.col("_g").eqNullSafe(F.lit(g)), F.lit(int(n))).otherwise(want)
+    counts = d.groupBy("_g", "_d").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("_g").orderBy("_d").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    cut = counts.withColumn("_upto", upto).withColumn("_w", want).where((F.col("_upto") >= F.col("_w")) & (F.col("_upto") - F.col("_n") < F.col("_w")))
+    cut = cut.select(F.col("_g").alias("_cg"), F.col("_d").alias("_cd"), (F.col("_w") - F.col("_upto") + F.col("_n")).alias("_need"))
+    d = d.withColumn("_w", want).join(F.broadcast(cut), F.col("_g").eqNullSafe(F.col("_cg")), "left")
+    rank = F.row_number().over(Window.partitionBy("_g").orderBy("_h", key))
+    edge = F.coalesce(F.col("_d") == F.col("_cd"), F.lit(False))
+    clear = d.where(~edge).withColumn(name, (F.col("_w") > 0) & (F.col("_cd").isNull() | (F.col("_d") < F.col("_cd"))))
+    tied = d.where(edge).withColumn(name, rank <= F.col("_need"))
+    return clear.unionByName(tied).select(*[F.col(f"`{c}`") for c in df.columns], name)
+
+
 def exact_sample(df: DataFrame, n: int, key: str, seed: int = 42, strict: bool = True) -> DataFrame:
-    """Exactly ``n`` rows, the least by hash; an error if there are fewer, unless not strict. A top-n, so no full sort."""
-    out = df.orderBy(draw(key, seed), key).limit(n)
-    if strict and (have := out.count()) < n:
+    """Exactly ``n`` rows, the least by hash; an error if there are fewer, unless not strict. No sort of the table, whatever ``n``."""
+    if strict and (have := df.count()) < n:
         raise ValueError(f"{n} rows asked for, {have} there")
-    return out
+    return mark_least(df, key, {None: n}, seed=seed).where("_chosen").drop("_chosen")
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
@@ -141,16 +169,15 @@ def half_even(x: float) -> int:
     return int(round(x))
 
 
-def _least(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
-    return df.select(key).orderBy(draw(key, seed), key).limit(n)
+def _split(df: DataFrame, column: str) -> DataFrame:
+    return df.withColumn(column, F.when(F.col("_chosen"), "validation").otherwise("train")).drop("_chosen")
 
 
 def random_split(df: DataFrame, key: str, share: float = 0.2, seed: int = 42, column: str = "split_name") -> DataFrame:
-    """``round(n share)`` rows (half to even, at least one of two or more) are validation, by hash; keys are unique."""
+    """``round(n share)`` rows (half to even, at least one of two or more) are validation, by hash."""
     total = df.count()
     n = max(1, half_even(total * share)) if total > 1 else 0
-    chosen = _least(df, n, key, seed).withColumn("_v", F.lit(True))
-    return df.join(chosen, key, "left").withColumn(column, F.when(F.col("_v"), "validation").otherwise("train")).drop("_v")
+    return _split(mark_least(df, key, {None: n}, seed=seed), column)
 
 
 def apportion(counts: dict, total: int) -> dict:
@@ -171,9 +198,8 @@ def apportion(counts: dict, total: int) -> dict:
 
 
 def sample_by_group(df: DataFrame, group: str, key: str, wanted: dict, seed: int = 42) -> DataFrame:
-    """The least rows by hash of each group, as many as wanted; groups are few and known to the caller."""
-    parts = [df.where(F.col(group) == g).orderBy(draw(key, seed), key).limit(n) for g, n in wanted.items() if n > 0]
-    return reduce(DataFrame.union, parts) if parts else df.limit(0)
+    """The least rows by hash of each group, as many as wanted, in one pass; groups are few and known to the caller."""
+    return mark_least(df, key, wanted, group, seed).where("_chosen").drop("_chosen")
 
 
 def proportional_sample(df: DataFrame, group: str, key: str, total: int, seed: int = 42) -> DataFrame:
@@ -188,9 +214,7 @@ def stratified_split(df: DataFrame, label: str, key: str, share: float = 0.2, se
     counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     if None in counts:
         raise ValueError(f"null in {label}")
-    wanted = apportion(counts, ceil(sum(counts.values()) * share))
-    chosen = sample_by_group(df, label, key, wanted, seed).select(key).withColumn("_v", F.lit(True))
-    return df.join(chosen, key, "left").withColumn(column, F.when(F.col("_v"), "validation").otherwise("train")).drop("_v")
+    return _split(mark_least(df, key, apportion(counts, ceil(sum(counts.values()) * share)), label, seed), column)
 
 
 def synthetic_ids(df: DataFrame, base_numeric: bool, order: list[str]) -> DataFrame:

@@ -22,15 +22,30 @@ def label_counts(df: DataFrame, label: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(x == 1).alias("positives"), F.count_if(x == 0).alias("negatives"), F.count(x).alias("labelled"))
 
 
+def _bucket(score: Column, bounds: Column) -> Column:
+    """How many of the ascending ``bounds`` are below ``score``, by bisection."""
+    step = F.sequence(F.lit(1), F.lit(BUCKETS.bit_length()))
+    whole = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
+
+    def halve(r: Column, _: Column) -> Column:
+        mid = F.floor((r["lo"] + r["hi"]) / 2).cast("int")
+        right = F.get(bounds, mid) < score
+        return F.when(r["lo"] >= r["hi"], r).otherwise(F.struct(F.when(right, mid + 1).otherwise(r["lo"]).alias("lo"), F.when(right, r["hi"]).otherwise(mid).alias("hi")))
+
+    return F.coalesce(F.aggregate(step, whole, halve, lambda r: r["lo"]), F.lit(0))
+
+
 def _thresholds(df: DataFrame, label: Column, score: Column) -> DataFrame:
     """Per distinct score: positives and rows at it, and at and above it.
 
     Running sums go over (bucket, score): a window within each bucket, and a window over one row per bucket, so the sort isn't
-    done in a single task. Buckets are ranges of the score between its extremes, which one aggregate finds.
+    done in a single task. Bucket bounds are approximate quantiles of the distinct scores, so buckets hold about as many distinct
+    scores each however the scores lie.
     """
     by = df.select(label.cast("long").alias("y"), score.cast("double").alias("s")).groupBy("s").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
-    ends = by.agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
-    spread = by.crossJoin(F.broadcast(ends)).withColumn("b", F.when(F.col("hi") > F.col("lo"), F.floor((F.col("s") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BUCKETS)).otherwise(F.lit(0)).cast("long")).drop("lo", "hi")
+    at = F.array(*[F.lit(k / BUCKETS) for k in range(1, BUCKETS)])
+    ends = by.agg(F.array_sort(F.array_distinct(F.percentile_approx("s", at, 10 * BUCKETS))).alias("bounds"))
+    spread = by.crossJoin(F.broadcast(ends)).withColumn("b", _bucket(F.col("s"), F.col("bounds"))).drop("bounds")
     above = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
     sums = spread.groupBy("b").agg(F.sum("pos").alias("bp"), F.sum("n").alias("bn"))
     base = sums.select("b", F.coalesce(F.sum("bp").over(above), F.lit(0)).alias("p0"), F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("n0"))

@@ -74,6 +74,40 @@ def scorer(name: str) -> Callable:
     return add
 
 
+def save_model(model, path: str, features: list[str] | None = None) -> None:  # noqa: ANN001
+    """A fitted pipeline, and the order of its features beside it."""
+    from pyspark.sql import SparkSession
+
+    from candor.sources.io import write_json
+
+    model.write().overwrite().save(path)
+    if features is not None:
+        write_json(SparkSession.active(), features, f"{path.rstrip('/')}.features.json")
+
+
+def load_model(spec: dict, name: str = "hallucination_prob") -> Callable[[DataFrame], DataFrame]:
+    """A scorer of rows from a manifest entry: the pipeline at ``model_path``, on the features that ``feature_columns_path`` lists.
+
+    Features that a frame lacks are 0, others are left out, and all are numbers, null as 0.
+    """
+    from pyspark.ml import PipelineModel
+    from pyspark.sql import SparkSession
+
+    from candor.sources.io import read_text
+
+    model = PipelineModel.load(spec["model_path"])
+    columns = json.loads(read_text(SparkSession.active(), spec["feature_columns_path"])) if "feature_columns_path" in spec else None
+
+    def score(df: DataFrame) -> DataFrame:
+        own = [f"_own{k}" for k in range(len(df.columns))]
+        kept = df.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(df.columns, own, strict=True)], *[F.col(f"`{c}`") for c in df.columns])
+        matrix = model_matrix(kept, columns, keep=own) if columns is not None else kept
+        made = model.transform(matrix).withColumn("_prob", vector_to_array("probability")[1])
+        return made.select(*[F.col(a).alias(c) for c, a in zip(df.columns, own, strict=True)], F.col("_prob").alias(name))
+
+    return score
+
+
 def read_manifest(text: str) -> dict:
     """The parts of a manifest, empty where absent; an error for a blend of names it doesn't define."""
     raw = json.loads(text)
@@ -84,10 +118,28 @@ def read_manifest(text: str) -> dict:
     return out
 
 
+def manifest_at(spark, path: str) -> dict:  # noqa: ANN001
+    """:func:`read_manifest` of a file that Spark's file system can open."""
+    from candor.sources.io import read_text
+
+    return read_manifest(read_text(spark, path))
+
+
 def score_manifest(df: DataFrame, manifest: dict, meta: Callable[[DataFrame], Column] | None = None, name: str = "hallucination_prob") -> DataFrame:
-    """All component scores (``score::<name>``) and their blend, or a meta model's output, in one pass over the rows."""
-    names = [m["name"] for m in [*manifest["atomic"], *manifest["qa"]]]
-    out = reduce(lambda d, n: d.withColumn(f"score::{n}", REGISTRY[n](df)), names, df)
+    """All component scores (``score::<name>``) and their blend, or a meta model's output, in one pass over the rows.
+
+    A model with a ``model_path`` is loaded from there; another is a scorer registered under its name.
+    """
+    specs = [*manifest["atomic"], *manifest["qa"]]
+    names = [m["name"] for m in specs]
+    out = df
+    for m in specs:
+        column = f"score::{m['name']}"
+        out = load_model(m, column)(out) if "model_path" in m else out.withColumn(column, REGISTRY[m["name"]](df))
+    if meta is None and manifest["meta"] and "model_path" in manifest["meta"]:
+        parts = {n: F.col(f"`score::{n}`") for n in names}
+        fed = reduce(lambda d, kv: d.withColumn(*kv), rank.meta_features(parts).items(), out)
+        return load_model(manifest["meta"], name)(fed)
     scores = {n: F.col(f"`score::{n}`") for n in names}
     if meta is not None:
         for k, v in rank.meta_features(scores).items():
@@ -97,8 +149,12 @@ def score_manifest(df: DataFrame, manifest: dict, meta: Callable[[DataFrame], Co
     return out.withColumn(name, rank.blend(scores, manifest["blend"]))
 
 
-def generate(df: DataFrame, prompt: str, make: Callable[[], Callable[[list[str]], list[str]]], name: str = "model_answer", batch: int = 32) -> DataFrame:
-    """Add a generated text per prompt. ``make`` loads the generator, once per task and only where there are rows."""
+def generate(df: DataFrame, prompt: str, make: Callable, name: str = "model_answer", batch: int = 32, **sampling: float) -> DataFrame:
+    """Add a generated text per prompt. ``make`` loads the generator, once per task and only where there are rows.
+
+    ``sampling`` (``temperature``, ``top_p``, ``max_new_tokens``, ``seed``) is handed to each call of the generator; without any the
+    generator is called with the prompts alone, which stands for greedy decoding.
+    """
     from pyspark.sql.types import StringType, StructField, StructType
 
     def run(frames: Iterator) -> Iterator:
@@ -109,7 +165,7 @@ def generate(df: DataFrame, prompt: str, make: Callable[[], Callable[[list[str]]
             model = model or make()
             texts: list[str] = []
             for i in range(0, len(pdf), batch):
-                texts += model([p or "" for p in pdf[prompt].iloc[i : i + batch]])
+                texts += model([p or "" for p in pdf[prompt].iloc[i : i + batch]], **sampling)
             yield pdf.assign(**{name: texts})
 
     schema = StructType([*(f for f in df.schema if f.name != name), StructField(name, StringType())])

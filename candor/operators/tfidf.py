@@ -27,14 +27,15 @@ def char_wb_ngrams(c: Column, low: int = 3, high: int = 5) -> Column:
     def grams(word: Column) -> Column:
         padded = F.concat(F.lit(" "), word, F.lit(" "))
         size = F.length(padded)
-        out = []
-        for n in range(low, high + 1):
-            starts = F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1)))
-            parts = F.transform(starts, lambda i, n=n: F.substring(padded, i, F.lit(n)))
-            # shorter than n: only the first n that exceeds the word gives the whole of it
-            whole = F.when(size == n - 1, F.array(padded)).otherwise(F.array().cast("array<string>")) if n > low else F.when(size < n, F.array(padded)).otherwise(F.array().cast("array<string>"))
-            out.append(F.when(size >= n, parts).otherwise(F.array().cast("array<string>")) if n > low else F.when(size >= n, parts).otherwise(whole))
-        return F.concat(*out)
+
+        def of(n: int) -> Column:
+            # a function of the start alone: a second parameter would get the position in the array
+            cut = F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substring(padded, i, F.lit(n)))
+            # the first n that exceeds the word gives the whole of it, once
+            whole = size < n if n == low else size == n - 1
+            return F.when(size >= n, cut).when(whole, F.array(padded)).otherwise(F.array().cast("array<string>"))
+
+        return F.concat(*map(of, range(low, high + 1)))
 
     return F.flatten(F.transform(words, grams))
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,16 +16,6 @@ from candor.session import table
 from candor.sources import io
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A folder for round trips through files: in the shared checkpoint folder where there is one."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not shared:
-        return f"file://{tempfile.mkdtemp(prefix='candor-files-')}"
-    import uuid
-
-    return f"{shared.rstrip('/')}/files-{uuid.uuid4().hex}"
-
-
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders")
 
@@ -63,7 +51,7 @@ MANUAL = "case when lower(is_hallucination_manual) in ('true', '1') then 1 when
 
 def round_trip(kind: str):  # noqa: ANN201
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        path = f"{_scratch(spark)}/nation.{kind}"
+        path = f"{io.scratch(spark)}/nation.{kind}"
         df = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
         io.write_table(df, path)
         return io.read_table(spark, path, schema="c_custkey long, c_name string, c_mktsegment string")
@@ -80,13 +68,18 @@ def src9_set1_widening_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.union_widening(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), table(spark, sf_dir, "supplier").select("s_name"))
 
 
-@query()
-def src4_5_6_7_8_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = _scratch(spark)
-    for split in ("train", "valid"):
-        table(spark, sf_dir, "nation").select("n_nationkey").write.parquet(f"{root}/{split}/x_with_answers.parquet")
-    df = io.discover(spark, root, "part-*.parquet", schema="n_nationkey long")
-    return df.groupBy("path_split").agg(F.count(F.lit(1)).alias("n"))
+_PLACES = "p as (select * from (values (0, 'train/a_with_answers.parquet', 'train'), (1, 'valid/b_with_answers.parquet', 'validation'), (2, 'misc/c_with_answers.parquet', 'unspecified')) as x(r, generated_file, path_split))"
+
+
+@query(f"with {_PLACES}, c as (select c_custkey, c_name, c_mktsegment, generated_file, path_split from customer join p on c_custkey % 4 = r) select 'all' as found, *, case path_split when 'train' then 1 when 'validation' then 2 else 0 end as table_order from c union all select 'train', *, 0 from c where path_split = 'train'")
+def src4_5_6_7_8_srt3_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written below three folders, a fourth table that isn't to be found, and what is found in all and in one split."""
+    root, customers = io.scratch(spark), table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    for k, place in enumerate(("train/a_with_answers.parquet", "valid/b_with_answers.parquet", "misc/c_with_answers.parquet", "train/labels.parquet")):
+        io.write_table(customers.where(F.col("c_custkey") % 4 == k), f"{root}/{place}")
+    found = {"all": io.discover(spark, root, "*_with_answers.parquet"), "train": io.discover(spark, root, "*_with_answers.parquet", split="train", schema=customers.schema)}
+    out = A.union_widening(*(A.tagged(d, "found", k) for k, d in found.items()))
+    return out.withColumn("generated_file", F.array_join(F.slice(F.split("generated_file", "/"), -2, 2), "/"))
 
 
 @query("select o_orderkey as uid, o_orderstatus as question, o_orderpriority as gold_answer, 'orders' as source_dataset, 'train' as source_split from orders where length(o_orderpriority) <= 40 and len(list_filter(string_split_regex(o_orderpriority, '\\s+'), lambda w: w <> '')) <= 5 and o_orderstatus <> '' and o_orderpriority <> ''")
@@ -310,17 +303,17 @@ def set2_tagged_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.union_widening(A.tagged(d.where("quality = 0"), "poc_source", "hard"), A.tagged(d.where("quality = 1"), "poc_source", "easy")).drop("quality")
 
 
-@query(f"with {QA} select id, 0 as n_rows_missing from qa")
-def snk2_labelled_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from candor.operators.labels import weak_labels
+_METRICS = f"""with {LABELLED}, t as (select score_a as s, sum(quality) as pos, count(*) as n from lab group by 1),
+c as (select *, sum(pos) over (order by s desc) as cp, sum(n) over (order by s desc) as cn from t),
+r as (select sum(pos * cp::double / cn) / sum(pos) as pr_auc, sum(pos * ((select sum(n - pos) from t) - (cn - cp) + (n - pos) / 2.0)) / (sum(pos) * sum(n - pos)) as roc_auc from c),
+s as (select count(*) as n, count(*) filter (quality = 1 and score_a >= 0.5) as tp, count(*) filter (score_a >= 0.5) as p, sum(quality) as q, count(*) filter ((score_a >= 0.5) = (quality = 1)) as h from lab)
+select n as rows, 0.5::double as threshold, round(h::double / n, 9) as accuracy_at_threshold, round(tp::double / p, 9) as precision_at_threshold, round(tp::double / q, 9) as recall_at_threshold, round(2.0 * tp::double / (p + q), 9) as f1_at_threshold, round(pr_auc, 9) as pr_auc, round(roc_auc, 9) as roc_auc from s, r"""
 
-    base = _scratch(spark)
-    io.write_labelled(weak_labels(B.qa(spark, sf_dir), EN), base)
-    return spark.read.parquet(f"{base}/labeling_dataset.parquet").select("id", F.lit(0).alias("n_rows_missing"))
 
-
-@query()
+@query(_METRICS)
 def snk5_8_metrics_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{_scratch(spark)}/metrics.json"
+    path = f"{io.scratch(spark)}/metrics.json"
     io.write_json(spark, io.row_as_dict(M.evaluate(labelled(spark, sf_dir), F.col("quality"), F.col("score_a"))), path)
-    return spark.read.json(path, multiLine=True)
+    kind = "rows long, threshold double, accuracy_at_threshold double, precision_at_threshold double, recall_at_threshold double, f1_at_threshold double, pr_auc double, roc_auc double"
+    d = spark.read.schema(kind).json(path, multiLine=True)
+    return d.select("rows", "threshold", *(F.round(c, 9).alias(c) for c in d.columns[2:]))

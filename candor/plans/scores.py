@@ -11,13 +11,15 @@ from pyspark.sql.types import ArrayType, DoubleType
 from candor.functions import arrays as R
 from candor.functions import text as T
 from candor.functions.lexicon import EN
+from candor.operators import assemble as A
 from candor.operators import labels as L
 from candor.operators import metrics as M
 from candor.operators import models, rank
 from candor.plans import base as B
 from candor.plans.base import QA, query
-from candor.plans.relational import LABELLED, MANUAL, _scratch, labelled
+from candor.plans.relational import LABELLED, MANUAL, labelled
 from candor.session import table
+from candor.sources import io
 
 _BEST = f"""with {QA}, s as (select id, model_answer, context, unnest(gold_answers_text) as g, unnest(range(1, len(gold_answers_text) + 1)) as k, gold_answers_text as golds from qa),
 p as (select *, {B.toks('model_answer')} as a, {B.toks('g')} as b, {B.norm('model_answer')} as an, {B.norm('context')} as cn from s), q as (select *, {B.content('a')} as ac, {B.content('b')} as bc from p),
@@ -32,16 +34,34 @@ def agg10_best_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("id", "best_gold_answer", F.round("token_f1_max", 9).alias("token_f1_max"), F.round("content_token_f1_max", 9).alias("content_token_f1_max"))
 
 
-@query(_BEST + f""" select id, case when {B.phrase('an', EN.uncertainty)} then 1 when len({B.numbers('model_answer')}) > 0 and len({B.numbers('g')}) > 0 and {B.numbers('model_answer')} <> {B.numbers('g')} then 1
+_LEXICAL = _BEST + f""" select id, case when {B.phrase('an', EN.uncertainty)} then 1 when len({B.numbers('model_answer')}) > 0 and len({B.numbers('g')}) > 0 and {B.numbers('model_answer')} <> {B.numbers('g')} then 1
 when {_ANY} then 0 when {_SUB} then 0 when f1 >= 0.85 then 0 when cf1 >= 0.9 then 0 when f1 <= 0.15 and cf1 <= 0.2 and not ({B.supported('an', 'cn')}) then 1 end as weak_label,
 case when {B.phrase('an', EN.uncertainty)} then 'uncertainty_marker' when len({B.numbers('model_answer')}) > 0 and len({B.numbers('g')}) > 0 and {B.numbers('model_answer')} <> {B.numbers('g')} then 'numeric_mismatch'
 when {_ANY} then 'exact_match' when {_SUB} then 'substring_match' when f1 >= 0.85 then 'high_token_f1' when cf1 >= 0.9 then 'high_content_f1'
-when f1 <= 0.15 and cf1 <= 0.2 and not ({B.supported('an', 'cn')}) then 'low_similarity_unsupported' else 'manual_review' end as weak_label_reason from best""")
+when f1 <= 0.15 and cf1 <= 0.2 and not ({B.supported('an', 'cn')}) then 'low_similarity_unsupported' else 'manual_review' end as weak_label_reason from best"""
+
+
+@query(_LEXICAL)
 def lab1_lexical_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cascade without character similarity, which SQL can't compute."""
     return L.weak_labels(B.qa(spark, sf_dir), EN, similarity=False).select("id", "weak_label", "weak_label_reason")
 
 
+@query(f"""with l as ({_LEXICAL}), a as (select *, weak_label is null as needs_manual_review, coalesce(weak_label, 0) = 1 as is_hallucination_heuristic, '' as reviewer_comment from l)
+select 'labeling_dataset.parquet' as file, * from a union all select 'labeling_dataset.csv', * from a
+union all select 'labeling_dataset_manual_review.parquet', * from a where weak_label is null union all select 'labeling_dataset_manual_review.csv', * from a where weak_label is null""")
+def snk2_labelled_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four labelled files read back. Labels are those of the cascade without character similarity, so that SQL can check them."""
+    base = io.scratch(spark)
+    io.write_labelled(L.weak_labels(B.qa(spark, sf_dir), EN, similarity=False), base)
+    kind = {"id": "string", "weak_label": "int", "weak_label_reason": "string", "needs_manual_review": "boolean", "is_hallucination_heuristic": "boolean", "reviewer_comment": "string"}
+    parts = []
+    for name in ("labeling_dataset.parquet", "labeling_dataset.csv", "labeling_dataset_manual_review.parquet", "labeling_dataset_manual_review.csv"):
+        d = spark.read.csv(f"{base}/{name}", header=True, multiLine=True, escape='"') if name.endswith("csv") else io.read_table(spark, f"{base}/{name}")
+        parts.append(d.select(F.lit(name).alias("file"), *((F.coalesce(c, F.lit("")) if c == "reviewer_comment" else F.col(c).cast(t)).alias(c) for c, t in kind.items())))
+    return A.union_widening(*parts)
+
+
 @query()
 def weak_label_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: the whole labelling of all answers, counted by reason and label."""
@@ -132,6 +152,52 @@ def win11_12_13_14_15_arr6_windows(spark: SparkSession, sf_dir: str) -> DataFram
     return series(spark, sf_dir).select("user_id", F.round(R.max_window_mean(v, 3), 6).alias("max_window_3"), F.round(R.max_window_mean(v, 5), 6).alias("max_window_5"), F.round(R.min_window_mean(v, 5), 6).alias("min_window_5"), F.round(R.max_drop(v), 6).alias("max_drop"), F.round(R.tail_degradation(v), 6).alias("tail_degradation"), F.round(R.first_mean(v, 5), 6).alias("first_5"))
 
 
+_BUNDLE = f"""with {_SERIES.replace('v as', 'w as', 1)}, f as (select user_id, list_filter(v, lambda x: x < 40) as v from w), v as (select *, len(v) as n from f), k as (select *, greatest(1, ceil(n * 0.3))::bigint as s, list_transform(v, lambda x: x / 10.0::double) as e from v),
+m as (select *, {_WIN.format(w=5)} as w5, {_WIN.format(w=3)} as w3 from k)
+select user_id, {', '.join(f"round(coalesce({x}, 0), 5) as {n}" for n, x in {
+    "token_logprob_mean": "list_avg(v)", "token_logprob_std": "list_stddev_pop(v)", "token_logprob_min": "list_min(v)", "token_logprob_max": "list_max(v)",
+    "token_entropy_mean": "list_avg(v) / 10", "token_entropy_std": "list_stddev_pop(v) / 10", "token_entropy_min": "list_min(v) / 10", "token_entropy_max": "list_max(v) / 10",
+    "logprob_min": "list_min(v)", "logprob_p05": "list_aggregate(v, 'quantile_cont', 0.05)", "logprob_p10": "list_aggregate(v, 'quantile_cont', 0.1)",
+    "logprob_max_drop": "case when n < 2 then 0 else list_max(list_transform(range(1, n), lambda i: greatest(v[i] - v[i + 1], 0))) end",
+    "logprob_tail_degradation": "list_avg(list_slice(v, 1, s)) - list_avg(list_slice(v, n - s + 1, n))", "worst_span_logprob_mean": "list_min(w5)",
+    "entropy_max_window_3": "list_max(w3) / 10", "entropy_max_window_5": "list_max(w5) / 10", "entropy_variance": "list_var_pop(v) / 100", "worst_span_entropy_mean": "list_max(w5) / 10",
+    "first_5_tokens_entropy": "list_avg(list_slice(v, 1, 5)) / 10", "top1_match_rate": "list_avg(list_transform(v, lambda x: (x < 20)::int))", "top1_prob_mean": "list_avg(list_transform(v, lambda x: x / 40.0::double))",
+}.items())} from m"""
+
+
+@query(_BUNDLE)
+def arr6_17_response_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole bundle over each user's values under 40, for users without any too: an empty response is all zeros."""
+    d = series(spark, sf_dir).withColumn("v", F.filter("v", lambda x: x < 40))
+    got = R.response_statistics(F.col("v"), F.col("e"), F.col("m"), F.col("p"))
+    d = d.withColumns({"e": F.transform("v", lambda x: x / 10.0), "m": F.transform("v", lambda x: (x < 20).cast("double")), "p": F.transform("v", lambda x: x / 40.0)})
+    return d.select("user_id", *(F.round(c, 5).alias(n) for n, c in got.items()))
+
+
+@query("""with e as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings), p as (select vec_id, list_slice(v, 1, 16) as l, list_slice(v, 17, 32) as m, list_slice(v, 33, 48) as y from e),
+c as (select vec_id, list_cosine_similarity(l, m) as a, list_cosine_similarity(l, y) as b, list_cosine_similarity(m, y) as d from p)
+select vec_id, round(a, 5) as last_mid_cos, round(b, 5) as last_early_cos, round(d, 5) as mid_early_cos, round(greatest(a, b, d) - least(a, b, d), 5) as hidden_state_cosine_diff, round(1 - (a + b + d) / 3, 5) as layer_disagreement_score from c""")
+def arr13_layer_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three parts of an embedding stand in for the mean vectors of three layers."""
+    v = F.col("embedding").cast("array<double>")
+    got = R.layer_agreement(F.slice(v, 1, 16), F.slice(v, 17, 16), F.slice(v, 33, 16))
+    return table(spark, sf_dir, "embeddings").select("vec_id", *(F.round(c, 5).alias(n) for n, c in got.items()))
+
+
+@query("""with e as (select vec_id, label, list_transform(embedding, lambda x: x::double) as v, row_number() over (partition by label order by vec_id) as k, count(*) over (partition by label) as n from embeddings),
+b as (select r.label, r.vec_id, max(list_cosine_similarity(r.v, c.v)) as cos from e r join e c on r.label = c.label and r.k > r.n - 10 and c.k <= least(50, c.n - 10) group by all)
+select label, round(avg(cos), 5) as q_align_maxcos_mean, round(stddev_pop(cos), 5) as q_align_maxcos_std, round(min(cos), 5) as q_align_maxcos_min, round(quantile_cont(cos, 0.1), 5) as q_align_maxcos_p10, round(avg((cos < 0.3)::int), 5) as q_align_low_support_rate from b group by label""")
+def arr15_question_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label's vectors as a token sequence whose last ten are the response; the question is the first 50 of the prompt at most."""
+    e = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", F.col("embedding").cast("array<double>").alias("v")))).alias("t"))
+    e = e.select("label", F.transform("t", lambda x: x["v"]).alias("t"), (F.size("t") - 10).alias("start"))
+    question = e.select("label", F.explode(R.question_part(F.col("t"), F.col("start"))).alias("v"))
+    response = e.select("label", F.explode(F.slice("t", F.greatest(F.col("start"), F.lit(0)) + 1, F.lit(10))).alias("v"))
+    d = alignment(response, question, "label", "v")
+    names = {"mean": "maxcos_mean", "std": "maxcos_std", "least": "maxcos_min", "p10": "maxcos_p10", "low_support": "low_support_rate"}
+    return d.select("label", *(F.round(c, 5).alias(f"q_align_{n}") for c, n in names.items()))
+
+
 @query("with e as (select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings), m as (select label, i, avg(v[i]) as x from e, (select unnest(range(1, 65)) as i) group by all), c as (select label, list(x order by i) as c from m group by label) select vec_id, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 5) as norm, round(list_cosine_similarity(v, c), 5) as cosine_to_mean from e join c using (label)")
 def arr11_12_13_norms_and_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
@@ -184,7 +250,10 @@ def arr9_10_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("vec_id", F.round(R.entropy(F.col("p")), 6).alias("entropy"), F.round(R.kl_divergence(F.col("q"), F.col("p")), 6).alias("kl"))
 
 
-@query()
+@query("""with e as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings), p as (select vec_id, v, unnest(range(0, 4)) as i from e),
+r as (select vec_id, list_slice(v, i * 16 + 1, i * 16 + 16) as z, (vec_id + i) % 16 as y from p), m as (select *, list_max(z) as mx from r),
+s as (select *, ln(list_sum(list_transform(z, lambda x: exp(x - mx)))) + mx as lse from m)
+select vec_id, round(avg(z[y + 1] - lse), 6) as logprob, round(avg(list_sum(list_transform(z, lambda x: -exp(x - lse) * (x - lse)))), 6) as entropy, round(avg((list_position(z, mx) - 1 = y)::int), 6) as top1_match, round(avg(exp(mx - lse)), 6) as top1_prob from s group by vec_id""")
 def arr4_5_7_8_token_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-probabilities, entropies and top-1 data from logits; embeddings cut into four positions of 16 stand in for logits."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
@@ -200,28 +269,26 @@ def arr16_subsequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("id", R.find_subsequence(F.col("q"), F.slice("q", 3, 2)).cast("long").alias("position"))
 
 
-@query("select 0.0::double as mean, 0.0::double as window, 0.0::double as p05, null::double as logprob_min")
-def arr17_empty_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An empty response has fixed zeros, but no least log-probability."""
-    d = spark.range(1).select(F.array().cast("array<double>").alias("v"))
-    return d.select(R.mean(F.col("v")).alias("mean"), R.max_window_mean(F.col("v"), 3).alias("window"), R.percentile(F.col("v"), 5).alias("p05"), F.array_min("v").alias("logprob_min"))
-
-
 _FEATURES = ["n_chars", "score_a", "score_b"]
 
 
 @query()
 def mod1_snk6_srt1_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = labelled(spark, sf_dir).select(*_FEATURES, F.col("quality").alias("label"), (F.col("split_name") == "validation").alias("valid")).persist()
-    model = models.fit_boosted(d, _FEATURES, validation="valid", iterations=5, depth=3)
+    """Trees with the operator's own settings; rounds end when the validation rows get no better."""
+    d = io.staged(labelled(spark, sf_dir).select(*_FEATURES, F.col("quality").alias("label"), (F.col("split_name") == "validation").alias("valid")))
+    model = models.fit_boosted(d, _FEATURES, validation="valid")
     return models.importances(model, _FEATURES, spark)
 
 
 @query()
 def mod2_3_snk7_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = labelled(spark, sf_dir).select("doc_id", *(F.col(c).cast("double").alias(c) for c in _FEATURES), F.col("quality").alias("label"), "split_name").persist()
-    model = models.fit_logistic(d.where("split_name = 'train'"), _FEATURES, iterations=20)
-    return models.probability(model, d.where("split_name = 'validation'")).select("doc_id", F.round("hallucination_prob", 6).alias("hallucination_prob"))
+    """Validation rows with their probabilities, as the written predictions have them."""
+    d = io.staged(labelled(spark, sf_dir).select("doc_id", "split_name", F.col("source").alias("question"), F.col("text").alias("model_answer"), *(F.col(c).cast("double").alias(c) for c in _FEATURES), F.col("quality").alias("label")))
+    model = models.fit_logistic(d.where("split_name = 'train'"), _FEATURES)
+    path = f"{io.scratch(spark)}/validation_predictions.parquet"
+    made = models.probability(model, d.where("split_name = 'validation'"))
+    io.write_table(made.select(F.col("doc_id").alias("id"), "split_name", "question", "model_answer", "label", "hallucination_prob"), path)
+    return io.read_table(spark, path).withColumn("hallucination_prob", F.round("hallucination_prob", 6))
 
 
 @models.scorer("score_a")
@@ -236,23 +303,47 @@ def _score_b(df: DataFrame):  # noqa: ANN202
 
 @query(f"with {LABELLED} select doc_id, round((score_a + (1 - score_b)) / 2, 9) as hallucination_prob from lab")
 def mod4_5_src13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = '{"atomic_catboost_models": [{"name": "score_a"}], "qa_models": [{"name": "score_b"}], "solid_batch_independent_blend": [{"name": "score_a", "weight": 1}, {"name": "score_b", "weight": 1, "invert": true}]}'
-    d = models.score_manifest(labelled(spark, sf_dir), models.read_manifest(spec))
+    """The manifest is a file; its components are registered scorers."""
+    path = f"{io.scratch(spark)}/manifest.json"
+    blend = [{"name": "score_a", "weight": 1}, {"name": "score_b", "weight": 1, "invert": True}]
+    io.write_json(spark, {"atomic_catboost_models": [{"name": "score_a"}], "qa_models": [{"name": "score_b"}], "solid_batch_independent_blend": blend}, path)
+    d = models.score_manifest(labelled(spark, sf_dir), models.manifest_at(spark, path))
     return d.select("doc_id", F.round("hallucination_prob", 9).alias("hallucination_prob"))
 
 
-@query(f"with {QA} select id, 'echo: ' || substr(question, 1, 20) as model_answer from qa")
+@query()
+def mod4_fitted_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two fitted models saved, named by a manifest file, loaded from it and blended."""
+    d = io.staged(labelled(spark, sf_dir).select("doc_id", *(F.col(c).cast("double").alias(c) for c in _FEATURES), F.col("quality").alias("label")))
+    base, entries = io.scratch(spark), []
+    for name, features in (("all", _FEATURES), ("scores", _FEATURES[1:])):
+        models.save_model(models.fit_logistic(d, features), f"{base}/{name}", features)
+        entries.append({"name": name, "model_path": f"{base}/{name}", "feature_columns_path": f"{base}/{name}.features.json"})
+    io.write_json(spark, {"atomic_catboost_models": entries, "solid_batch_independent_blend": [{"name": "all", "weight": 3}, {"name": "scores", "weight": 1}]}, f"{base}/manifest.json")
+    out = models.score_manifest(d, models.manifest_at(spark, f"{base}/manifest.json"))
+    return out.select("doc_id", *(F.round(f"`{c}`", 6).alias(c) for c in ("score::all", "score::scores", "hallucination_prob")))
+
+
+@query(f"with {QA} select id, 'greedy' as mode, 'echo: ' || substr(question, 1, 20) as model_answer from qa union all select id, 'sampled', substr(question, 1, 7) || '@0.7/0.9' from qa")
 def mod6_7_8_udf1_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The generator interface with a stand-in that echoes its prompt."""
-    make = lambda: lambda prompts: [f"echo: {p[:20]}" for p in prompts]
-    return models.generate(B.qa(spark, sf_dir).select("id", "question"), "question", make).select("id", "model_answer")
+    """The generator interface with a stand-in that echoes its prompt, greedily and with sampling parameters."""
+
+    def make():  # noqa: ANN202
+        def echo(prompts: list[str], temperature: float = 0.0, top_p: float = 1.0, max_new_tokens: int = 20) -> list[str]:
+            return [f"{p[:max_new_tokens]}@{temperature}/{top_p}" if temperature else f"echo: {p[:max_new_tokens]}" for p in prompts]
+
+        return echo
+
+    d = B.qa(spark, sf_dir).select("id", "question")
+    parts = {"greedy": models.generate(d, "question", make), "sampled": models.generate(d, "question", make, temperature=0.7, top_p=0.9, max_new_tokens=7)}
+    return A.union_widening(*(A.tagged(p.select("id", "model_answer"), "mode", k) for k, p in parts.items()))
 
 
 @query("select event_id, user_id, value from events where event_id % 3 <> 0 union all select event_id, user_id, value from events where event_id % 3 = 0")
 def inc1_2_4_snk4_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     from candor.streaming.incremental import resume
 
-    path = f"{_scratch(spark)}/cache"
+    path = f"{io.scratch(spark)}/cache"
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
     resume(e.where("event_id % 3 <> 0"), path, ["event_id"], lambda d: d)
     return resume(e, path, ["event_id"], lambda d: d)
@@ -279,12 +370,17 @@ def arr7_layer_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(n.alias("n"), R.layer_picks(n).alias("p")).select("n", "p.*")
 
 
-@query()
-def arr8_logit_lens(spark: SparkSession, sf_dir: str) -> DataFrame:
+_LENS = "e{k} as (select vec_id, i, list_transform(z, lambda x: x * {scale}::double) as z from z), l{k} as (select *, list_max(z) as mx, ln(list_sum(list_transform(z, lambda x: exp(x - list_max(z))))) + list_max(z) as lse from e{k}), s{k} as (select vec_id, avg(-list_sum(list_transform(z, lambda x: exp(x - lse) * (x - lse)))) as entropy, avg(exp(mx - lse)) as top1 from l{k} group by vec_id)"
+
+
+@query(f"""with h as (select vec_id, i, list_transform(list_slice(embedding, i * 16 + 1, i * 16 + 16), lambda x: x::double) as h from embeddings, (select unnest(range(0, 4)) as i)),
+z as (select vec_id, i, list_transform(range(0, 32), lambda k: list_sum(list_transform(range(0, 16), lambda j: sin((16 * k + j)::double) * h[j + 1]))) as z from h), {_LENS.format(k=1, scale=1)}, {_LENS.format(k=2, scale=0.5)}
+select vec_id, round(s1.entropy, 5) as entropy, round(s1.top1, 5) as top1_prob, round(s1.entropy - s2.entropy, 5) as logit_lens_early_late_entropy_gap, round(abs(s1.top1 - s2.top1) / 2, 5) as logit_lens_top1_prob_trajectory_std from s1 join s2 using (vec_id)""")
+def arr8_10_logit_lens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as hidden states of four tokens of width 16, under a fixed output matrix, and the summary over two layers."""
-    head = np.random.default_rng(3).standard_normal((32, 16))
+    head = np.sin(np.arange(32 * 16, dtype=float)).reshape(32, 16)
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     states = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("v", i * 16 + 1, F.lit(16)))
     e = e.withColumn("h", states).withColumn("a", R.logit_lens(head)("h")).withColumn("b", R.logit_lens(head * 0.5)("h"))
     got = R.lens_summary(F.array("a.entropy", "b.entropy"), F.array("a.top1_prob", "b.top1_prob"))
-    return e.select("vec_id", F.round("a.entropy", 6).alias("entropy"), F.round("a.top1_prob", 6).alias("top1_prob"), *(F.round(c, 6).alias(k) for k, c in got.items()))
+    return e.select("vec_id", F.round("a.entropy", 5).alias("entropy"), F.round("a.top1_prob", 5).alias("top1_prob"), *(F.round(c, 5).alias(k) for k, c in got.items()))

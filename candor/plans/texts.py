@@ -12,6 +12,7 @@ from candor.operators import tfidf
 from candor.plans import base as B
 from candor.plans.base import QA, items, lit, query
 from candor.session import table
+from candor.sources.io import staged
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +118,7 @@ select id, term, round(w / norm, 7) as weight from w join n using (id)""".replac
 
 @query(_TFIDF_WORD)
 def txt30_tfidf_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = B.qa(spark, sf_dir).select("id", "question").persist()
+    d = staged(B.qa(spark, sf_dir).select("id", "question"))
     return tfidf.fit(d, "question", tfidf.word_ngrams, min_df=2).transform(d, "id", "question").select("id", "term", F.round("weight", 7).alias("weight"))
 
 
@@ -127,13 +128,15 @@ x as (select id, unnest(list_concat(
   case when len(p) < 3 then [p] else list_transform(range(1, len(p) - 1), lambda i: substr(p, i, 3)) end,
   case when len(p) = 3 then [p] when len(p) < 4 then [] else list_transform(range(1, len(p) - 2), lambda i: substr(p, i, 4)) end,
   case when len(p) = 4 then [p] when len(p) < 5 then [] else list_transform(range(1, len(p) - 3), lambda i: substr(p, i, 5)) end)) as term from e),
-tf as (select id, term, count(*) as tf from x group by all), df as (select term, count(*) as df from tf group by all having count(*) >= 2)
-select term, df from df""".replace("{QA}", QA)
+tf as (select id, term, count(*) as tf from x group by all), df as (select term, count(*) as df from tf group by all having count(*) >= 2),
+w as (select id, term, (1 + ln(tf)) * (ln((1.0::double + (select count(*) from qa)) / (1 + df)) + 1) as w from tf join df using (term)),
+n as (select id, sqrt(sum(w * w)) as norm from w group by all)
+select id, term, round(w / norm, 7) as weight from w join n using (id)""".replace("{QA}", QA)
 
 
-@query()
+@query(_TFIDF_CHAR)
 def txt29_tfidf_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = B.qa(spark, sf_dir).select("id", "question").persist()
+    d = staged(B.qa(spark, sf_dir).select("id", "question"))
     return tfidf.fit(d, "question", tfidf.char_wb_ngrams, min_df=2).transform(d, "id", "question").select("id", "term", F.round("weight", 7).alias("weight"))
 
 
@@ -149,7 +152,7 @@ def txt31_sparse_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from candor.operators.models import hashed_text_block
 
     d = B.qa(spark, sf_dir).select("id", tfidf.word_ngrams(F.col("question")).alias("question"), tfidf.char_wb_ngrams(F.col("model_answer")).alias("answer"))
-    out = hashed_text_block(["question", "answer"], bits=10).fit(d).transform(d)
+    out = hashed_text_block(["question", "answer"]).fit(d).transform(d)
     return out.select("id", F.size(F.filter(vector_to_array("_features"), lambda x: x != 0)).alias("n_nonzero"))
 
 
@@ -363,17 +366,21 @@ def prj8_9_12_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("id", "prompt_text", full_text(F.col("prompt_text"), F.col("model_answer")).alias("full_text"))
 
 
-@query(f"with {QA}, k as (select unnest(['entity_swap', 'false_refusal']) as kind) select id, kind as hallucination_type, kind || '. Give a wrong answer (' || kind || ').' || chr(10) || chr(10) || coalesce(title, '') || chr(10) || chr(10) || coalesce(context, '') || chr(10) || chr(10) || question || chr(10) || to_json(['x y', 'z'])::varchar as prompt from qa, k")
+_TYPES = ("entity_swap", "date_number_swap", "cause_fact_swap", "off_context_confident", "false_refusal")
+
+
+@query(f"with {QA}, k as (select unnest([{items(_TYPES)}]) as kind) select id, kind as hallucination_type, kind || '. Give a wrong answer (' || kind || ').' || chr(10) || chr(10) || coalesce(title, '') || chr(10) || chr(10) || coalesce(context, '') || chr(10) || chr(10) || question || chr(10) || to_json(gold_answers_text)::varchar as prompt from qa, k")
 def prj10_11_join5_error_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from candor.operators.assemble import with_types
 
-    d = with_types(B.qa(spark, sf_dir), ["entity_swap", "false_refusal"])
-    golds = F.array(F.lit("x y"), F.lit("z"))
-    return d.select("id", "hallucination_type", error_prompt(F.col("hallucination_type"), EN, F.col("title"), F.col("context"), F.col("question"), golds).alias("prompt"))
+    d = with_types(B.qa(spark, sf_dir), list(_TYPES))
+    return d.select("id", "hallucination_type", error_prompt(F.col("hallucination_type"), EN, F.col("title"), F.col("context"), F.col("question"), _golds()).alias("prompt"))
 
 
-@query()
+@query(f"with {QA} select id, (turn % 3 = 0)::int as expects_date, (turn % 3 = 1)::int as expects_number, 0 as expects_person from qa")
 def fg4_russian_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The Russian pack over fixed questions, as the test tables have no Cyrillic."""
-    d = spark.createDataFrame([("В каком году это было?", "1927"), ("Сколько их?", "да, 5"), ("никто", "нет")], "question string, model_answer string")
-    return FE.select_bundle(FE.prepare(d, RU_V3), ["question"], FE.dense_v3(RU_V3))
+    """The Russian pack: the test tables have no Cyrillic, so a row's question is one of three by its turn."""
+    asked = F.when(F.col("turn") % 3 == 0, "В каком году это было?").when(F.col("turn") % 3 == 1, "Сколько их?").otherwise("никто")
+    d = FE.prepare(B.qa(spark, sf_dir).withColumn("question", asked), RU_V3)
+    got = FE.question_flags(RU_V3)
+    return d.select("id", *(got[k].cast("int").alias(k) for k in ("expects_date", "expects_number", "expects_person")))

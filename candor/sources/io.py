@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import tempfile
+import uuid
+from fnmatch import fnmatchcase
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,16 +49,74 @@ def split_of(path: Column) -> Column:
     return found
 
 
+def find_tables(spark: SparkSession, folder: str, glob: str = "*.parquet", split: str | None = None) -> list[str]:
+    """Files and table folders below ``folder`` whose name fits ``glob``, in order of their paths; what fits is not searched further.
+
+    ``split`` keeps those below a folder of that name, so others aren't even listed by a reader.
+    """
+    fs_of = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    found, folders = [], [(folder, split is None)]
+    while folders:
+        at, inside = folders.pop()
+        for status in fs_of.listStatus(spark._jvm.org.apache.hadoop.fs.Path(at)):
+            path = status.getPath()
+            if fnmatchcase(path.getName(), glob):
+                found += [path.toString()] if inside else []
+            elif status.isDirectory():
+                folders.append((path.toString(), inside or path.getName() == split))
+    return sorted(found)
+
+
 def discover(spark: SparkSession, folder: str, glob: str = "*.parquet", split: str | None = None, provenance: str = "generated_file", schema: T.StructType | str | None = None) -> DataFrame:
-    """All Parquet files below a folder whose name fits ``glob``, with the path each row is from and the split that it names.
+    """The rows of :func:`find_tables`, with the path of the table each is from, its place in the order, and the split it names.
 
-    ``split`` keeps files below a folder of that name; the filter on the path is applied to files, not rows.
+    A folder without such tables is an error. Columns that only some have are widened when no schema is given.
     """
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-    df = (reader.schema(schema) if schema else reader).parquet(folder)
-    path = F.col("_metadata.file_path")
-    df = df.where(F.contains(path, F.lit(f"/{split}/"))) if split else df
-    return df.select("*", path.alias(provenance), split_of(path).alias("path_split"))
+    paths = find_tables(spark, folder, glob, split)
+    if not paths:
+        raise FileNotFoundError(f"no {glob} below {folder}")
+    df = (spark.read.schema(schema) if schema else spark.read.option("mergeSchema", "true")).parquet(*paths)
+    plain = lambda p: p.partition(":")[2].lstrip("/") if ":" in p else p.lstrip("/")
+    file = F.col("_metadata.file_path")
+    at = F.lit(None).cast("int")
+    for k, p in enumerate(paths):
+        at = F.when(F.endswith(file, F.lit(plain(p))) | F.contains(file, F.lit(f"{plain(p)}/")), k).otherwise(at)
+    df = df.select("*", at.alias("table_order"))
+    names = F.element_at(F.array(*map(F.lit, paths)), F.col("table_order") + 1)
+    return df.withColumn(provenance, names).withColumn("path_split", split_of(F.col(provenance)))
+
+
+def scratch(spark: SparkSession, tag: str = "files") -> str:
+    """A fresh path for intermediate files under ``spark.checkpoint.dir``; where it is unset, in local mode only, one of our own.
+
+    What a session wrote there is removed when its Python process ends.
+    """
+    conf = spark.sparkContext.getConf()
+    shared = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='candor-')}"
+        spark.conf.set("spark.checkpoint.dir", shared)
+    path = f"{shared.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001 - the session may have ended before; its folder is the cluster's to clear
+        return
+
+
+def staged(df: DataFrame, tag: str = "staged") -> DataFrame:
+    """Written once and read back, so that several readers see the same rows even if an executor is lost in between."""
+    path = scratch(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def excluded_ids(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -120,6 +182,11 @@ def write_json(spark: SparkSession, value: object, path: str) -> None:
     out.close()
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file (manifest, feature names), through Spark's file system."""
+    return spark.read.text(path, wholetext=True).first()["value"]
+
+
 def row_as_dict(df: DataFrame) -> dict:
     """The one row of a metrics frame, for :func:`write_json`."""
     return df.first().asDict(recursive=True)
