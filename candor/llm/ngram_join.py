@@ -377,7 +377,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     while True:
         tagged = left.join(component, left["doc"] == component["node"], "left").select("group", "doc", "n", "at", F.coalesce("component", "doc").alias("of"))
         mixed = tagged.groupBy("group").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low != high").select("group")
-        tagged = materialize(tagged.join(mixed, "group", "left_semi"), "undecided")
+        # written, so a group that very many documents are in can be split in the join
+        tagged = materialize(tagged.join(broadcast_if_small(materialize(mixed, "mixed-groups"), FEW), "group", "left_semi"), "undecided")
         if tagged.isEmpty():
             break
         first = tagged.withColumn("k", F.row_number().over(Window.partitionBy("group").orderBy("doc"))).where(F.col("k") <= pivots)
