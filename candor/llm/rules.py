@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candor.llm.runtime import materialize, own_names, text_of
+from candor.llm.runtime import broadcast_if_small, materialize, own_names, text_of
 
 #: White space as the rules see it.
 BLANK = "\\x20\\x09-\\x0D"
@@ -90,7 +90,7 @@ def clean_documents(docs: DataFrame, host: str = "source", max_documents: int =
     if max_share > 0:
         of_host = texts.groupBy("_host").agg(F.count(F.lit(1)).alias("of_host"))
         often = often.join(of_host, "_host").where(F.col("n_docs") > max_share * F.col("of_host"))
-    often = often.select("_host", "hash")
+    often = broadcast_if_small(materialize(often.select("_host", "hash"), "frequent-lines"))
     above = lines.join(often, ["_host", "hash"]).groupBy(*TEXT).agg(F.collect_set("hash").alias("_above"))
     judged = materialize(texts.drop("hashes").join(above, TEXT, "left"), "lines-above")
 
@@ -101,7 +101,7 @@ def clean_documents(docs: DataFrame, host: str = "source", max_documents: int =
     d = d.withColumn(text, F.when(F.col("_above").isNull(), F.col(text)).otherwise(F.array_join(stays, "\n")))
     if size := names.get("n_chars"):
         d = d.withColumn(size, F.when(F.col("_above").isNull(), F.col(size)).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType))
-    d = d.withColumn("_left", F.size(words_of(text_of(text))).cast("long"))
+    d = d.withColumn("_left", F.when(F.col("_above").isNull(), F.col("n_words")).otherwise(F.size(words_of(text_of(text))).cast("long")))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     kept = ~failed & (F.col("_left") >= least_words) & (F.col("_left") >= least_left * F.col("n_words"))
     d = d.withColumns({"base_failed": failed, "kept": kept, "n_removed_words": F.col("n_words") - F.col("_left")})
