@@ -159,6 +159,20 @@ def prj18_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.normalize_whitespace(F.col("text")).alias("plain"))
 
 
+@query("select c_custkey, c_mktsegment from customer where c_mktsegment in ('BUILDING', 'MACHINERY')")
+def prj29_comma_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A parameter that lists values, with blanks and an empty item."""
+    wanted = C.comma_set(" BUILDING,, MACHINERY ")
+    return table(spark, sf_dir, "customer").where(F.col("c_mktsegment").isin(wanted)).select("c_custkey", "c_mktsegment")
+
+
+@query(f"with {QA} select id, conv_id, turn, len({B.toks('model_answer')}) as n_answer, len({B.toks('question')}) as n_question from qa")
+def join7_columns_by_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Derived columns put beside those of their row: a projection, as rows never part."""
+    derived = {"n_answer": F.size(T.tokens(F.col("model_answer"))).cast("long"), "n_question": F.size(T.tokens(F.col("question"))).cast("long")}
+    return B.qa(spark, sf_dir).withColumns(derived).select("id", "conv_id", "turn", *derived)
+
+
 @query("select s_suppkey as id, s_name as question, null::varchar as context, 1 as label from supplier")
 def prj19_23_schema_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql.types import StructType

@@ -131,7 +131,10 @@ def sco3_4_rank_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One array of event values per user, in order of time: a stand-in for a token series."""
+    """One array of event values per user, in order of time: a stand-in for a token series.
+
+    A row holds a whole series, as the array functions need it: right for responses of some thousand tokens, not for unbounded keys.
+    """
     e = table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id", "value").alias("e"))
     return e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list("e")), lambda x: F.coalesce(x["value"], F.lit(0.0)).cast("double")).alias("v"))
 
@@ -220,7 +223,8 @@ def alignment(responses: DataFrame, contexts: DataFrame, key: str, vector: str,
     """Per group: mean, deviation, least, tenth percentile and share below .3 of each response vector's greatest cosine to a context vector.
 
     Contexts of a group come in blocks of bounded size; each response vector meets each block as a matrix product in an Arrow
-    function, and only maxima leave it. Groups without contexts are left out, as they have nothing to align with.
+    function, and only maxima leave it. Groups without contexts are left out, as they have nothing to align with. A group is one
+    record's tokens, so its pairs of blocks are few; the work is quadratic in a record's length and linear in their number.
     """
 
     def blocked(d: DataFrame, name: str, rows) -> DataFrame:  # noqa: ANN001

@@ -66,6 +66,17 @@ def txt10_11_12_13_match_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_flags(B.qa(spark, sf_dir), EN).select("id", "has_uncertainty_marker", "model_answer_supported_by_context", "exact_match_any", "substring_match_any")
 
 
+_PHRASES, _STEMS = ("the", "for example", "la"), ("tran", "gar")
+
+
+@query(f"with d as (select doc_id, {B.norm('text')} as n from documents) select doc_id, {B.phrase('n', _PHRASES)} as has_phrase, {B.phrase('n', _PHRASES, _STEMS)} as has_phrase_or_stem, {B.phrase('n', _PHRASES, _STEMS, anchored=True)} as begins_so from d")
+def txt16_regex_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Any of several phrases as whole words, any of several stems, anywhere or at the start."""
+    d = _docs(spark, sf_dir).select("doc_id", T.normalize(F.col("text")).alias("n"))
+    n = F.col("n")
+    return d.select("doc_id", T.has_phrase(n, _PHRASES).alias("has_phrase"), T.has_phrase(n, _PHRASES, _STEMS).alias("has_phrase_or_stem"), T.has_phrase(n, _PHRASES, _STEMS, anchored=True).alias("begins_so"))
+
+
 @query(f"select doc_id, {B.sentences('text')} as n_sentences, {B.first_sentence('text')} as first_sentence from documents")
 def txt15_17_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("text")
