@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from candor.llm.runtime import broadcast_if_small, connected_components, grouped, joined_components, materialize, text_of, tidy
 from candor.llm.textkit import mix, pieces, words
@@ -342,8 +341,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     Two documents link when 100 times the intersection is at least ``percent`` times the union. Equal sets are one class, found
     by digest. Of each class one document enters an index of prefixes: in a global order of shingles, similar sets share one of
     their first elements. The documents at a shingle are compared with the least of them, the pivot, by tries. What is left are
-    shingles whose other documents are not all of one component; these go on with more pivots at a time (64, 4096, ...), and only
-    between components, until every shingle's documents have been compared or are connected. No pair that could link is lost and
+    shingles whose other documents are not all of one component; these go on with more pivots at a time (about 64, 4096, ..., chosen by
+    hash, until all are), and only between components, until every shingle's documents have been compared or are connected. No pair that could link is lost and
     none inside a component is made twice; the answer does not depend on blocks, order of rows or the hot list.
 
     Texts without words (null, empty) have no shingles and link with nothing. Rows that share an id are one document for links,
@@ -376,21 +375,24 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     left, pivots = others.select("group", "doc", "n", "at"), 64
     while True:
         tagged = left.join(component, left["doc"] == component["node"], "left").select("group", "doc", "n", "at", F.coalesce("component", "doc").alias("of"))
-        mixed = tagged.groupBy("group").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low != high").select("group")
+        mixed = tagged.groupBy("group").agg(F.min("of").alias("low"), F.max("of").alias("high"), F.count(F.lit(1)).alias("c")).where("low != high").select("group", "c")
         # written, so a group that very many documents are in can be split in the join
-        tagged = materialize(tagged.join(broadcast_if_small(materialize(mixed, "mixed-groups"), FEW), "group", "left_semi"), "undecided")
+        tagged = tagged.join(broadcast_if_small(materialize(mixed, "mixed-groups"), FEW), "group")
+        chosen = F.pmod(F.xxhash64("doc", F.lit(pivots)), F.ceil(F.col("c") / pivots)) == 0
+        tagged = materialize(tagged.withColumn("chosen", chosen).drop("c"), "undecided")
         if tagged.isEmpty():
             break
-        first = tagged.withColumn("k", F.row_number().over(Window.partitionBy("group").orderBy("doc"))).where(F.col("k") <= pivots)
-        first = materialize(first.select("group", F.col("doc").alias("pivot"), F.col("n").alias("pn"), F.col("at").alias("pat"), F.col("of").alias("pof")), "pivots")
-        pairs = tagged.join(first, "group").where((F.col("doc") > F.col("pivot")) & (F.col("of") != F.col("pof")) & may_link("n", "at", "pn", "pat", percent)).select("pivot", "doc").distinct()
+        first = tagged.where("chosen").select("group", F.col("doc").alias("pivot"), F.col("n").alias("pn"), F.col("at").alias("pat"), F.col("of").alias("pof"))
+        # two pivots meet once, at the lesser
+        once = (F.col("doc") > F.col("pivot")) | ((F.col("doc") != F.col("pivot")) & ~F.col("chosen"))
+        pairs = tagged.join(first, "group").where(once & (F.col("of") != F.col("pof")) & may_link("n", "at", "pn", "pat", percent)).select("pivot", "doc").distinct()
         pairs = materialize(plausible(pairs, maps, percent), "pairs")
         if not pairs.isEmpty():
             sets = candidate_sets(docs, pairs, sets, hot, n)
             more = materialize(verified_links(pairs, sets, percent), "links")
             if not more.isEmpty():
                 component = materialize(joined_components(component, more), "components")
-        left = tagged.select("group", "doc", "n", "at").join(first.select("group", F.col("pivot").alias("doc")), ["group", "doc"], "left_anti")
+        left = tagged.where(~F.col("chosen")).select("group", "doc", "n", "at")
         pivots *= 64
     return rows.select("doc_id", "n_shingles").join(component, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

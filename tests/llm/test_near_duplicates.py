@@ -62,6 +62,22 @@ def test_ngram_join(spark, seed):
     assert got == brute(rows)
 
 
+def test_shingles_of_many_unlike_documents(spark, monkeypatch):
+    """A passage that is not ranked: hundreds of documents meet at its shingles, so several rounds of pivots are needed."""
+    monkeypatch.setattr(ngram_join, "hot_shingles", lambda rows: np.zeros((0, 2), np.int64))
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = []
+    for i in range(420):
+        own = rows[rng.randrange(len(rows))][1].split()[40:] if rows and rng.random() < 0.3 else [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        if rng.random() < 0.7:
+            own[rng.randrange(60)] = "changed"
+        rows.append((i, f"{passage} {' '.join(own)}"))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute(rows)
+    assert got == want and 50 < len({c for _, c in want.values()}) < 400
+
+
 def test_ngram_join_odd_rows(spark, odd_documents, no_documents):
     got = [tuple(r) for r in ngram_join.near_duplicates(odd_documents).collect()]
     assert len(got) == odd_documents.count()
