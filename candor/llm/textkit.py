@@ -72,7 +72,7 @@ def _parts(kind: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def run_hashes(data: np.ndarray, kind: np.ndarray, limit: int = 4 * CHUNK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def run_hashes(data: np.ndarray, kind: np.ndarray, limit: int = CHUNK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, length and 64-bit hash (letters A-Z lowered) of each run of bytes of one kind other than 0.
 
     Long data are worked on in parts cut between runs, so beside the runs found the working set stays bounded except for a
