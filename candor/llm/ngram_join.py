@@ -14,6 +14,8 @@ from candor.llm.textkit import mix, pieces, words
 
 #: Documents of a trie; a pivot with more candidates gets several tries.
 BLOCK = 128
+#: Shingles held at a time when a task looks for widely shared ones.
+LOOKED_AT = 1 << 21
 #: Ids are broadcast up to this number, and beyond it joined by shuffle.
 FEW = 200_000
 
@@ -63,31 +65,43 @@ def signatures(docs: DataFrame, n: int, local: int = 3) -> DataFrame:
     """``doc_id, n_shingles, digest, bitmap, wide``: per row the size, a 128-bit digest and a bitmap of its set.
 
     The bitmap has a bit for each hash modulo a power of two of about twice the set's size: two sets differ in at least as many
-    elements as their bitmaps do. ``wide``, on some rows, lists shingles that ``local`` different sets of one batch share.
+    elements as their bitmaps do. ``wide``, on some rows, lists shingles that ``local`` different sets share out of as many rows of a
+    task as hold ``LOOKED_AT`` shingles.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
+        seen: set[bytes] = set()
+        different: list[np.ndarray] = []
+        waiting: list[pa.Array] | None = None
+
+        def shared() -> list[dict[str, int]]:
+            """What several of the sets looked at so far share; they are forgotten."""
+            value, count = np.unique(np.concatenate(different) if different else np.zeros(0, np.int64), return_counts=True)
+            seen.clear()
+            different.clear()
+            return [{"shingle": s, "n": c} for s, c in zip(value[count >= local].tolist(), count[count >= local].tolist(), strict=True)]
+
+        def listed(columns: list[pa.Array], wide: list[dict[str, int]] | None) -> pa.RecordBatch:
+            lists = pa.array([wide, *[None] * (len(columns[0]) - 1)], pa.list_(pa.struct([("shingle", pa.int64()), ("n", pa.int64())])))
+            return pa.record_batch([*columns, lists], ["doc_id", "n_shingles", "digest", "bitmap", "wide"])
+
         for batch in batches:
-            seen: set[bytes] = set()
-            different, made = [], []
             for a, b in pieces(batch.column(1)):
+                if waiting:
+                    yield listed(waiting, shared() if sum(map(len, different)) > LOOKED_AT else None)
                 values, begin = shingle_sets(batch.column(1).slice(a, b - a), n)
                 own = [values[i:j] for i, j in zip(begin[:-1], begin[1:], strict=True)]
                 digests = [hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in own]
                 for v, d in zip(own, digests, strict=True):
                     if d not in seen:
                         seen.add(d)
-                        different.append(v)
+                        different.append(v.copy())
                 maps = pa.array([bitmap(v).tobytes() for v in own], pa.binary())
-                made.append([batch.column(0).slice(a, b - a), pa.array(np.diff(begin).astype(np.int64)), pa.array(digests, pa.binary()), maps])
-            value, count = np.unique(np.concatenate(different) if different else np.zeros(0, np.int64), return_counts=True)
-            wide = [{"shingle": s, "n": c} for s, c in zip(value[count >= local].tolist(), count[count >= local].tolist(), strict=True)]
-            for columns in made:
-                lists = pa.array([wide if not i else None for i in range(len(columns[0]))], pa.list_(pa.struct([("shingle", pa.int64()), ("n", pa.int64())])))
-                wide = []
-                yield pa.record_batch([*columns, lists], ["doc_id", "n_shingles", "digest", "bitmap", "wide"])
+                waiting = [batch.column(0).slice(a, b - a), pa.array(np.diff(begin).astype(np.int64)), pa.array(digests, pa.binary()), maps]
+        if waiting:
+            yield listed(waiting, shared())
 
     return docs.select(F.col("doc_id").cast("long"), text_of()).mapInArrow(run, "doc_id long, n_shingles long, digest binary, bitmap binary, wide array<struct<shingle:long,n:long>>")
 
@@ -110,7 +124,7 @@ def least_difference(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def hot_shingles(rows: DataFrame, most: int = 1 << 17) -> np.ndarray:
-    """Hashes and ranks of widely shared shingles, from the lists of the batches summed up.
+    """Hashes and ranks of widely shared shingles, from the lists of the tasks summed up.
 
     Any order of shingles gives the same links, so this need not be complete: it only keeps passages that very many documents
     share out of the prefixes. At most ``most`` shingles (the most frequent) are ranked, which bounds what is broadcast.

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 
 _open = threading.local()
+#: Bytes of an Arrow batch that goes to Python. Spark's own bound is 10,000 rows, which long texts make many times larger.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,12 +54,19 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
 
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
-    """What is written inside is removed at the end. Write results outside it, or by way of ``tidy``."""
+    """What is written inside is removed at the end. Write results outside it, or by way of ``tidy``.
+
+    Inside, Arrow batches are bounded by bytes too, unless the session has a smaller bound; a row that is longer is a batch of its own.
+    """
     scopes = _open.__dict__.setdefault("scopes", [])
     scopes.append([])
+    before = spark.conf.get(_BATCH, None)
+    if before is None or not before.isdigit() or int(before) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     try:
         yield
     finally:
+        spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
         remove(spark, scopes.pop())
 
 
