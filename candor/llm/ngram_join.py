@@ -355,7 +355,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     Two documents link when 100 times the intersection is at least ``percent`` times the union. Equal sets are one class, found
     by digest. Of each class one document enters an index of prefixes: in a global order of shingles, similar sets share one of
     their first elements. The documents at a shingle are compared with the least of them, the pivot, by tries. What is left are
-    shingles whose other documents are not all of one component; these go on with more pivots at a time (about 64, 4096, ..., chosen by
+    shingles whose other documents are not all of one component; these go on with more pivots at a time (about 8, 64, 512, ..., chosen by
     hash, until all are), and only between components, until every shingle's documents have been compared or are connected. No pair that could link is lost and
     none inside a component is made twice; the answer does not depend on blocks, order of rows or the hot list.
 
@@ -386,7 +386,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     sets = candidate_sets(docs, pairs, None, hot, n)
     links = materialize(same.union(verified_links(pairs, sets, percent)), "links")
     component = connected_components(links, "a", "b")
-    left, pivots = others.select("group", "doc", "n", "at"), 64
+    left, pivots = others.select("group", "doc", "n", "at"), 8
     while True:
         tagged = left.join(component, left["doc"] == component["node"], "left").select("group", "doc", "n", "at", F.coalesce("component", "doc").alias("of"))
         mixed = tagged.groupBy("group").agg(F.min("of").alias("low"), F.max("of").alias("high"), F.count(F.lit(1)).alias("c")).where("low != high").select("group", "c")
@@ -407,7 +407,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
             if not more.isEmpty():
                 component = materialize(joined_components(component, more), "components")
         left = tagged.where(~F.col("chosen")).select("group", "doc", "n", "at")
-        pivots *= 64
+        pivots *= 8
     return rows.select("doc_id", "n_shingles").join(component, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
