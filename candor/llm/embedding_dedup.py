@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candor.llm.runtime import connected_components, grouped, materialize
+from candor.llm.runtime import connected_components, grouped, lean, materialize
 
 #: Vectors of a block; a bucket with more is compared block by block.
 BLOCK = 256
@@ -45,6 +45,7 @@ def hashed(vectors: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
     """
     width = "<f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(2)

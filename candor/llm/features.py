@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candor.llm.runtime import text_of
+from candor.llm.runtime import lean, text_of
 from candor.llm.textkit import KIND, LOWER, joined, mix, pieces, powers, run_hashes
 
 #: Feature spaces are of 2**BITS hashed dimensions.
@@ -100,6 +100,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
 def fit_in_one_task(sample: DataFrame, fit: Callable[[pa.Table], bytes]) -> bytes:
     """Run ``fit`` over the whole bounded sample in one task and fetch the model, whose size the feature space fixes."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
         yield pa.record_batch([pa.array([fit(pa.Table.from_batches(held) if held else None)], pa.binary())], ["model"])

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candor.llm.runtime import broadcast_if_small, connected_components, grouped, joined_components, materialize, text_of, tidy
+from candor.llm.runtime import broadcast_if_small, connected_components, grouped, joined_components, lean, materialize, text_of, tidy
 from candor.llm.textkit import mix, pieces, words
 
 #: Documents of a trie; a pivot with more candidates gets several tries.
@@ -69,6 +69,7 @@ def signatures(docs: DataFrame, n: int, local: int = 3) -> DataFrame:
     task as hold ``LOOKED_AT`` shingles.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
@@ -216,6 +217,7 @@ def prefixes(docs: DataFrame, hot: np.ndarray, n: int, percent: int) -> DataFram
     """``doc, n, prefix``: the first elements of each set in the global order, for texts with words."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in pieces(batch.column(1)):
@@ -238,6 +240,7 @@ def shared_groups(index: DataFrame, most: int = 1 << 20) -> DataFrame:
     more than ``most`` documents isn't held to be hashed but is a group by itself.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         pivot, running = 0, None
@@ -286,6 +289,7 @@ def ordered_sets(docs: DataFrame, hot: np.ndarray, n: int) -> DataFrame:
     """``doc, digest, shingles``: the sets themselves as bytes, widely shared shingles first, as the tries hold them."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 

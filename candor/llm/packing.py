@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from candor.llm.runtime import materialize, text_of
+from candor.llm.runtime import lean, materialize, text_of
 from candor.llm.textkit import pieces as chunks
 from candor.llm.tokens import VOCABULARY, encode, encoder
 
@@ -99,6 +99,7 @@ def token_pieces(docs: DataFrame, capacity: int, separator: int, vocabulary: str
     All pieces of a cut document but the first are full. ``ids`` are little-endian bytes, two to an id where the vocabulary allows.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

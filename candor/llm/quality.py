@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candor.llm.features import BITS, fit_in_one_task, in_pieces, quality_features, row_sums, training_sample
-from candor.llm.runtime import text_of
+from candor.llm.runtime import lean, text_of
 from candor.llm.textkit import pieces
 
 
@@ -59,6 +59,7 @@ def score_quality(docs: DataFrame, weights: np.ndarray, bits: int = BITS, text:
     kept = [c for c in docs.columns if c != name]
     source = docs.select(*[F.col(f"`{c}`") for c in kept], text_of(f"`{text}`").alias("_scored_text"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for batch in batches:

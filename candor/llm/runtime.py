@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import sys
 import tempfile
 import threading
 import uuid
@@ -88,6 +90,21 @@ def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function that gives the memory it has freed back to the system at its end; workers wait for further tasks meanwhile."""
+
+    @functools.wraps(run)
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+                trim(0)
+
+    return freed
+
+
 def grouped(df: DataFrame, keys: list[str], order: list[str], kernel: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Apply ``kernel`` to the rows of each key, one key at a time.
 
@@ -96,6 +113,7 @@ def grouped(df: DataFrame, keys: list[str], order: list[str], kernel: Callable[[
     """
     out = pa.schema(_arrow_fields(df.sparkSession, schema))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from candor.llm.runtime import fresh_path, materialize, text_of
+from candor.llm.runtime import fresh_path, lean, materialize, text_of
 from candor.llm.textkit import pieces
 
 VOCABULARY = "byte_bpe_50k"
@@ -62,6 +62,7 @@ def write_token_files(docs: DataFrame, directory: str, separator: int = END_OF_D
     if max(separator, encoder(vocabulary).n_vocab - 1) > 0xFFFF:
         raise ValueError("the files hold 16-bit ids")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs as pafs
         from pyspark import TaskContext

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candor.llm.features import BITS, fit_in_one_task, in_pieces, lexical_features, row_sums, training_sample
-from candor.llm.runtime import text_of
+from candor.llm.runtime import lean, text_of
 from candor.llm.textkit import pieces
 
 #: Severity grades 0 (clean) to GRADES - 1.
@@ -103,6 +103,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_row
     """
     weights = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, max_rows, bits))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, cuts = weights.value[: 1 << bits], weights.value[1 << bits :]
         for batch in batches:
