@@ -23,9 +23,15 @@ def mean(a: Column) -> Column:
 
 
 def variance(a: Column) -> Column:
-    """Population variance."""
-    m = mean(a)
-    return or_zero(a, total(F.transform(_d(a), lambda x: (x - m) * (x - m))) / F.size(a))
+    """Population variance by Welford's recurrence, as SQL engines have it: one pass, with the mean carried along."""
+
+    def step(s: Column, x: Column) -> Column:
+        n = s["n"] + 1
+        m = s["mean"] + (x - s["mean"]) / n
+        return F.struct(n.alias("n"), m.alias("mean"), (s["squares"] + (x - m) * (x - s["mean"])).alias("squares"))
+
+    zero = F.struct(*(F.lit(0.0).alias(k) for k in ("n", "mean", "squares")))
+    return or_zero(a, F.aggregate(_d(a), zero, step, lambda s: s["squares"] / s["n"]))
 
 
 def std(a: Column) -> Column:

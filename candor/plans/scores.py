@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -168,13 +168,22 @@ select user_id, {', '.join(f"round(coalesce({x}, 0), 5) as {n}" for n, x in {
 }.items())} from m"""
 
 
+def _rounded(c: Column, digits: int) -> Column:
+    """Half away from zero in binary, as DuckDB rounds; ``F.round`` rounds the shortest decimal form, so the two part at ties."""
+    return F.round(c * 10.0**digits) / 10.0**digits
+
+
 @query(_BUNDLE)
 def arr6_17_response_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole bundle over each user's values under 40, for users without any too: an empty response is all zeros."""
+    """The whole bundle over each user's values under 40, for users without any too: an empty response is all zeros.
+
+    Entropies are the values in tenths. Their statistics are converted, not each value, so that no value is rounded on the way to a tie.
+    """
     d = series(spark, sf_dir).withColumn("v", F.filter("v", lambda x: x < 40))
-    got = R.response_statistics(F.col("v"), F.col("e"), F.col("m"), F.col("p"))
-    d = d.withColumns({"e": F.transform("v", lambda x: x / 10.0), "m": F.transform("v", lambda x: (x < 20).cast("double")), "p": F.transform("v", lambda x: x / 40.0)})
-    return d.select("user_id", *(F.round(c, 5).alias(n) for n, c in got.items()))
+    got = R.response_statistics(F.col("v"), F.col("v"), F.col("m"), F.col("p"))
+    got |= {n: c / (100 if n == "entropy_variance" else 10) for n, c in got.items() if "entropy" in n}
+    d = d.withColumns({"m": F.transform("v", lambda x: (x < 20).cast("double")), "p": F.transform("v", lambda x: x / 40.0)})
+    return d.select("user_id", *(_rounded(c, 5).alias(n) for n, c in got.items()))
 
 
 @query("""with e as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings), p as (select vec_id, list_slice(v, 1, 16) as l, list_slice(v, 17, 32) as m, list_slice(v, 33, 48) as y from e),

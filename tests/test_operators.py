@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import re
+import statistics
 from difflib import SequenceMatcher
 
 import pytest
@@ -194,3 +195,22 @@ def test_layers_and_question_vectors(spark):
     assert set(d.select(*(c.alias(n) for n, c in R.response_statistics(e, e, e, e).items())).first()) == {0.0}
     v = F.sequence(F.lit(1), F.lit(80))
     assert d.select(F.size(R.question_part(v, F.lit(70))), F.size(R.question_part(v, F.lit(12))), F.size(R.question_part(v, F.lit(0)))).first()[:] == (50, 12, 0)
+
+
+def test_response_statistics_of_different_series(spark):
+    lp, en, hit, prob = [-0.5, -3.0, -0.25, -1.0, -7.5, -2.0], [2.0, 0.5, 4.0, 1.0, 8.0, 16.0], [1.0, 0.0, 1.0, 1.0, 0.0, 1.0], [0.5, 0.25, 0.75, 0.5, 0.125, 0.25]
+    d = spark.createDataFrame([(lp, en, hit, prob)], "a array<double>, b array<double>, c array<double>, d array<double>")
+    got = d.select(*(c.alias(n) for n, c in R.response_statistics(*(F.col(k) for k in "abcd")).items())).first().asDict()
+
+    def windows(v, n):
+        return [sum(v[i : i + n]) / n for i in range(len(v) - n + 1)]
+
+    def percentile(v, q):
+        v, at = sorted(v), (len(v) - 1) * q
+        return v[int(at)] + (v[int(at) + 1] - v[int(at)]) * (at - int(at))
+
+    want = {f"token_{name}_{k}": f(v) for name, v in (("logprob", lp), ("entropy", en)) for k, f in (("mean", statistics.fmean), ("std", statistics.pstdev), ("min", min), ("max", max))}
+    want |= {"logprob_min": min(lp), "logprob_p05": percentile(lp, 0.05), "logprob_p10": percentile(lp, 0.1), "logprob_max_drop": 6.5, "logprob_tail_degradation": -1.75 + 4.75}
+    want |= {"worst_span_logprob_mean": min(windows(lp, 5)), "entropy_max_window_3": max(windows(en, 3)), "entropy_max_window_5": max(windows(en, 5)), "worst_span_entropy_mean": max(windows(en, 5))}
+    want |= {"entropy_variance": statistics.pvariance(en), "first_5_tokens_entropy": sum(en[:5]) / 5, "top1_match_rate": statistics.fmean(hit), "top1_prob_mean": statistics.fmean(prob)}
+    assert got == pytest.approx(want)

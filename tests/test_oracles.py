@@ -1,6 +1,8 @@
 """Every registered query with SQL gives the same rows in Spark and in DuckDB on the smallest tables."""
 
 import os
+import random
+from datetime import datetime, timedelta
 
 import duckdb
 import pytest
@@ -50,3 +52,18 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_bundle_at_ties_of_rounding(spark, tmp_path):
+    """Series of 2 to 32 values of two digits, many of whose means and variances lie halfway between two numbers of five digits."""
+    rng = random.Random(1)
+    values = [(u, round(rng.random() * 40, 1 + u % 2)) for u in range(400) for _ in range(2 ** (1 + u % 5))]
+    rows = [(k, u, datetime(2024, 1, 1) + timedelta(seconds=k), "view", v) for k, (u, v) in enumerate(values)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, event_type string, value double").write.parquet(f"file://{tmp_path}/events.parquet")
+    mine = {r["user_id"]: r.asDict() for r in registry.queries()["arr6_17_response_statistics"](spark, str(tmp_path)).collect()}
+    c = duckdb.connect()
+    c.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got = c.execute(registry.oracle_sql()["arr6_17_response_statistics"])
+    columns = [d[0] for d in got.description]
+    theirs = {r["user_id"]: r for r in (dict(zip(columns, row, strict=True)) for row in got.fetchall())}
+    assert len(theirs) == 400 and mine == theirs
