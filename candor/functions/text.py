@@ -36,6 +36,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def strip_ascii(c: Column) -> Column:
+    """Without blanks, tabs, form feeds and line ends around it, which is what RE2 calls a space; others stay."""
+    return F.regexp_replace(c, r"^[ \t\n\f\r]+|[ \t\n\f\r]+\z", "")
+
+
 def normalize_whitespace(c: Column) -> Column:
     return F.trim(F.regexp_replace(text(c), _SPACE, " "))
 
@@ -190,11 +195,21 @@ def bigrams(ids: Column) -> Column:
     return F.when(n >= 1, pairs).otherwise(F.array().cast("array<string>"))
 
 
+def without_tail(c: Column, tail: str) -> Column:
+    """Without ``tail`` on a last line of its own, and the line ends before it."""
+    return F.regexp_replace(c, rf"(?iu)\n+{re.escape(tail)}\.?\n?\z", "")
+
+
+def first_paragraph_line(c: Column, trim: Callable[[Column], Column] = strip) -> Column:
+    """The first line of the first paragraph, both trimmed."""
+    return trim(F.element_at(F.split(trim(F.element_at(F.split(c, "\n\n", 2), 1)), "\n", 2), 1))
+
+
 def clean_refusal_tail(c: Column, lex: Lexicon) -> Column:
     """Unix line ends, and no refusal on a last line of its own."""
     out = F.replace(strip(text(c)), F.lit("\r\n"), F.lit("\n"))
     for tail in lex.refusal_tails:
-        out = strip(F.regexp_replace(out, rf"(?iu)\n+{re.escape(tail)}\.?\n?\z", ""))
+        out = strip(without_tail(out, tail))
     return out
 
 
@@ -204,8 +219,7 @@ def clean_to_first_line(c: Column, lex: Lexicon, quotes: bool = False) -> Column
     out = strip(F.regexp_replace(out, rf"(?iuU)^{re.escape(lex.answer_prefix)}\s*[:\-]\s*", ""))
     if quotes:
         out = strip(F.regexp_replace(F.regexp_replace(out, '^"+|"+$', ""), "^'+|'+$", ""))
-    out = strip(F.element_at(F.split(out, "\n\n", 2), 1))
-    return strip(F.element_at(F.split(out, "\n", 2), 1))
+    return first_paragraph_line(out)
 
 
 @F.pandas_udf(DoubleType())

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from candor.functions import arrays as R
+from candor.functions import text as T
 from candor.functions.lexicon import EN
 from candor.functions.text import PUNCTUATION
 from candor.operators import assemble, labels, metrics, models, rank
@@ -214,3 +215,22 @@ def test_response_statistics_of_different_series(spark):
     want |= {"worst_span_logprob_mean": min(windows(lp, 5)), "entropy_max_window_3": max(windows(en, 3)), "entropy_max_window_5": max(windows(en, 5)), "worst_span_entropy_mean": max(windows(en, 5))}
     want |= {"entropy_variance": statistics.pvariance(en), "first_5_tokens_entropy": sum(en[:5]) / 5, "top1_match_rate": statistics.fmean(hit), "top1_prob_mean": statistics.fmean(prob)}
     assert got == pytest.approx(want)
+
+
+def test_clean_ups_of_answers(spark):
+    texts = [None, "", "  Answer : yes\r\nmore", "answer- 'it is'\n\nwhy", '"Answer: no"', "It is so.\r\n\r\nI do not know.", "So\nCannot answer\nI DO NOT KNOW.", "So\nI do not know\ncannot answer.\n", "Cannot answer."]
+    d = spark.createDataFrame(list(enumerate(texts)), "k int, t string").orderBy("k")
+    got = d.select(T.clean_to_first_line(F.col("t"), EN), T.clean_to_first_line(F.col("t"), EN, quotes=True), T.clean_refusal_tail(F.col("t"), EN)).collect()
+
+    def line(t, quotes):
+        t = re.sub(r"^Answer\s*[:\-]\s*", "", (t or "").strip().replace("\r\n", "\n"), flags=re.IGNORECASE).strip()
+        t = t.strip('"').strip("'").strip() if quotes else t
+        return t.split("\n\n")[0].strip().split("\n")[0].strip()
+
+    def tail(t):
+        t = (t or "").strip().replace("\r\n", "\n")
+        for x in EN.refusal_tails:
+            t = re.sub(rf"\n+{x}\.?$", "", t, flags=re.IGNORECASE).strip()
+        return t
+
+    assert [tuple(r) for r in got] == [(line(t, False), line(t, True), tail(t)) for t in texts]

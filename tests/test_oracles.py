@@ -67,3 +67,17 @@ def test_bundle_at_ties_of_rounding(spark, tmp_path):
     columns = [d[0] for d in got.description]
     theirs = {r["user_id"]: r for r in (dict(zip(columns, row, strict=True)) for row in got.fetchall())}
     assert len(theirs) == 400 and mine == theirs
+
+
+def test_cleanups_of_odd_texts(spark, tmp_path):
+    """Empty and null texts, labels, refusals, line ends and blanks of every kind, in random order."""
+    rng = random.Random(2)
+    pieces = ["", "a", "b c", "Answer:", "answer - ", "Cannot answer", "cannot answer.", "i do not know", " ", "\t", "\n", "\n\n", "\r\n", "\r\n\r\n", "\r", "\f", *"\v\x00\x1c\x1f\x85\xa0\u1680\u2003\u2028\u2029\u3000\ufeff", "ſ", "К", "😀", "."]
+    texts = [None, "", " ", "\n", "\r\n", *pieces, *("".join(rng.choices(pieces, k=rng.randint(1, 8))) for _ in range(20000))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    mine = {r["doc_id"]: r[1:] for r in registry.queries()["txt24_25_26_cleanups"](spark, str(tmp_path)).collect()}
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    theirs = {r[0]: r[1:] for r in c.execute(registry.oracle_sql()["txt24_25_26_cleanups"]).fetchall()}
+    differ = {k: (texts[k], mine.get(k), v) for k, v in theirs.items() if mine.get(k) != v}
+    assert len(mine) == len(theirs) == len(texts) and not differ, f"{len(differ)} differ, as {list(differ.values())[:3]}"
