@@ -56,6 +56,11 @@ def hashed_text_block(views: dict[str, Callable[[Column], Column]], bits: int =
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=blocks, outputCol="_features")])
 
 
+def n_nonzero(vector: str) -> Column:
+    """Number of nonzero entries of a vector, counted over those it stores; an array of all entries has half a million for two blocks."""
+    return F.size(F.filter(F.unwrap_udt(vector)["values"], lambda x: x != 0))
+
+
 def importances(model, features: list[str], spark) -> DataFrame:  # noqa: ANN001
     """Feature importances of a boosted model, greatest first; as many rows as there are features."""
     got = model.stages[-1].featureImportances

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from candor import registry
 
@@ -81,3 +82,18 @@ def test_cleanups_of_odd_texts(spark, tmp_path):
     theirs = {r[0]: r[1:] for r in c.execute(registry.oracle_sql()["txt24_25_26_cleanups"]).fetchall()}
     differ = {k: (texts[k], mine.get(k), v) for k, v in theirs.items() if mine.get(k) != v}
     assert len(mine) == len(theirs) == len(texts) and not differ, f"{len(differ)} differ, as {list(differ.values())[:3]}"
+
+
+def test_sparse_blocks_stay_sparse(spark):
+    """Nonzero entries equal those of the vectors themselves, and no row is blown up to an array of all 2 x 2^18 entries."""
+    from candor.operators import tfidf
+    from candor.operators.models import hashed_text_block
+    from candor.plans import base
+
+    out = registry.queries()["txt31_sparse_blocks"](spark, SF)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(UDF(" not in plan
+    d = base.qa(spark, SF).select("id", tfidf.word_ngrams(F.col("question")).alias("question"), tfidf.char_wb_ngrams(F.col("model_answer")).alias("answer"))
+    vectors = hashed_text_block(["question", "answer"]).fit(d).transform(d).select("id", "_features").collect()
+    assert {v.size for _, v in vectors} == {2 << 18}
+    assert dict(map(tuple, out.collect())) == {k: v.numNonzeros() for k, v in vectors}
