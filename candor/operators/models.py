@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 from functools import reduce
 
 from pyspark.ml import Pipeline
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from candor.operators import rank
 from candor.operators.coerce import model_matrix
+from candor.operators.hashing import HashedWordGrams
 
 
 def fit_boosted(df: DataFrame, features: list[str], label: str = "label", validation: str | None = None, iterations: int = 700, rate: float = 0.05, depth: int = 6, seed: int = 42):
@@ -47,11 +48,15 @@ def probability(model, df: DataFrame, name: str = "hallucination_prob") -> DataF
     return model.transform(df).withColumn(name, vector_to_array("probability")[1]).select(*df.columns, name)
 
 
-def hashed_text_block(views: dict[str, Callable[[Column], Column]], bits: int = 18) -> Pipeline:
-    """Sparse blocks for several gram arrays, put side by side: counts hashed to a fixed size, weighted by idf, one vector."""
+def hashed_text_block(views: dict[str, Callable[[Column], Column]], bits: int = 18, in_words: Collection[str] = ()) -> Pipeline:
+    """Sparse blocks for several gram arrays, put side by side: counts hashed to a fixed size, weighted by idf, one vector.
+
+    Views named in ``in_words`` are arrays of words (``tfidf.wb_words``), cut to character grams while they are hashed.
+    """
     stages, blocks = [], []
     for view in views:
-        stages += [HashingTF(inputCol=view, outputCol=f"_tf_{view}", numFeatures=1 << bits), IDF(inputCol=f"_tf_{view}", outputCol=f"_idf_{view}")]
+        counts = HashedWordGrams if view in in_words else HashingTF
+        stages += [counts(inputCol=view, outputCol=f"_tf_{view}", numFeatures=1 << bits), IDF(inputCol=f"_tf_{view}", outputCol=f"_idf_{view}")]
         blocks.append(f"_idf_{view}")
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=blocks, outputCol="_features")])
 

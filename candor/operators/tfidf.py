@@ -7,12 +7,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from candor.functions.text import bind
 
 def word_ngrams(c: Column, low: int = 1, high: int = 2) -> Column:
     """Runs of ``low`` to ``high`` tokens of two or more word characters, lower-cased."""
-    toks = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(?U)\b(\w\w+)\b"), F.lit(1))
-    grams = [toks if n == 1 else _runs(toks, n, lambda part: F.array_join(part, " ")) for n in range(low, high + 1)]
-    return F.concat(*grams)
+
+    def grams(toks: Column) -> Column:
+        return F.concat(*(toks if n == 1 else _runs(toks, n, lambda part: F.array_join(part, " ")) for n in range(low, high + 1)))
+
+    return bind(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(?U)\b(\w\w+)\b"), F.lit(1)), grams)
 
 
 def _runs(arr: Column, n: int, join) -> Column:  # noqa: ANN001
@@ -20,12 +23,16 @@ def _runs(arr: Column, n: int, join) -> Column:  # noqa: ANN001
     return F.when(F.size(arr) < n, F.array().cast("array<string>")).otherwise(F.transform(starts, lambda i: join(F.slice(arr, i, n))))
 
 
+def wb_words(c: Column) -> Column:
+    """The words that :func:`char_wb_ngrams` cuts."""
+    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"(?U)\s+"), lambda w: w != "")
+
+
 def char_wb_ngrams(c: Column, low: int = 3, high: int = 5) -> Column:
     """Character n-grams inside words padded with a blank on either side; a word shorter than n is one gram, once."""
-    words = F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"(?U)\s+"), lambda w: w != "")
+    words = wb_words(c)
 
-    def grams(word: Column) -> Column:
-        padded = F.concat(F.lit(" "), word, F.lit(" "))
+    def grams(padded: Column) -> Column:
         size = F.length(padded)
 
         def of(n: int) -> Column:
@@ -37,7 +44,7 @@ def char_wb_ngrams(c: Column, low: int = 3, high: int = 5) -> Column:
 
         return F.concat(*map(of, range(low, high + 1)))
 
-    return F.flatten(F.transform(words, grams))
+    return F.flatten(F.transform(F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" "))), grams))
 
 
 @dataclass

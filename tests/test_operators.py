@@ -3,18 +3,21 @@
 import hashlib
 import math
 import os
+import random
 import re
 import statistics
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 
 from candor.functions import arrays as R
 from candor.functions import text as T
 from candor.functions.lexicon import EN
 from candor.functions.text import PUNCTUATION
-from candor.operators import assemble, labels, metrics, models, rank
+from candor.operators import assemble, labels, metrics, models, rank, tfidf
+from candor.operators.hashing import HashedWordGrams, small_batches
 from candor.plans import base
 from candor.sources import io
 
@@ -234,3 +237,26 @@ def test_clean_ups_of_answers(spark):
         return t
 
     assert [tuple(r) for r in got] == [(line(t, False), line(t, True), tail(t)) for t in texts]
+
+
+def test_hashed_words_and_sparse_counts(spark, tmp_path):
+    """Words cut to grams and hashed in numpy, against HashingTF of the grams; nonzero entries without an array of all entries."""
+    rng = random.Random(3)
+    pieces = ["a", "Bc", "привет", "ё", "😀", "e\u0301", "x" * 40, "İ", "\x00", "'", " ", "\n", "\xa0", "\u2003", "12,5"]
+    texts = [None, "", " ", *("".join(rng.choices(pieces, k=rng.randint(1, 30))) for _ in range(300)), "word " * 300000]
+    d = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", tfidf.char_wb_ngrams(F.col("t")).alias("grams"), tfidf.wb_words(F.col("t")).alias("words"))
+    for size in (1 << 18, 1000):
+        stage = HashedWordGrams(inputCol="words", outputCol="mine", numFeatures=size)
+        stage.write().overwrite().save(f"file://{tmp_path}/stage")
+        with small_batches(spark):
+            got = HashedWordGrams.load(f"file://{tmp_path}/stage").transform(HashingTF(inputCol="grams", outputCol="theirs", numFeatures=size).transform(d))
+            rows = got.select("mine", "theirs", models.n_nonzero("mine")).collect()
+        assert len(rows) == len(texts) and all(r[0] == r[1] and r[0].size == size and r[0].numNonzeros() == r[2] for r in rows)
+    assert "UDF" not in models.n_nonzero("mine")._jc.toString()
+
+
+def test_tokens_are_found_once_per_text(spark):
+    d = spark.createDataFrame([("ab cd ab",)], "t string")
+    out = d.select(tfidf.word_ngrams(F.col("t"), 1, 3).alias("g"))
+    assert out.first()["g"] == ["ab", "cd", "ab", "ab cd", "cd ab", "ab cd ab"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
